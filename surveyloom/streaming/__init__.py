@@ -1,0 +1,5 @@
+"""No streaming operators: the feature set is batch only.
+
+Fitted transforms (``DesignModel.transform``, model scoring) are stateless projections, so they accept a streaming
+DataFrame as it is; ``tests/test_design.py`` checks that.
+"""
