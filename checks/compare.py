@@ -40,7 +40,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _sorted(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].astype(object)
     df = df.where(df.notna(), None)
-    return df.sort_values(by=list(df.columns), key=lambda s: s.map(str), ignore_index=True)
+    order = pd.Series([repr(row) for row in df.itertuples(index=False, name=None)], dtype=object)
+    return df.iloc[order.argsort(kind="stable")].reset_index(drop=True)
 
 
 def differences(mine: pd.DataFrame, theirs: pd.DataFrame) -> list[str]:

@@ -409,12 +409,12 @@ def variant_report(spark: SparkSession, sf: str) -> DataFrame:
 # models
 
 
-def _fit_score(kind: str):
+def _fit_score(kind: str, settings: dict | None = None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         model, table = _design(spark, sf)
         matrix = written(model.transform(table), "design")
         problem = models.Problem.split(matrix, census.TARGET, census.COMPLEMENT, census.WEIGHT)
-        fitted = models.fit_variants(problem, kind)
+        fitted = models.fit_variants(problem, kind, settings)
         scored = models.score_variants(problem, fitted)
         return metrics.threshold_labels(scored, "label", {v: f"p_{v}" for v in fitted})
 
@@ -474,6 +474,6 @@ QUERIES = {
     "weighted_bce": weighted_bce,
     "variant_report": variant_report,
     "lr_fit_score": _fit_score("logistic_regression"),
-    "gbt_fit_score": _fit_score("xgb"),
+    "gbt_fit_score": _fit_score("xgb", {"maxIter": 20}),
     "mlp_fit_score": _fit_score("neural_network"),
 }
