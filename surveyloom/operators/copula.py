@@ -16,9 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from surveyloom.functions.columns import long_form, quoted
 from surveyloom.operators.features import split_by_type
@@ -154,23 +156,24 @@ def normal_scores(
     return out.select(group, *scores)
 
 
-def _gram_partials(group: str, width: int):
-    """mapInPandas function: per task and group the sums of z_i·z_j over the upper triangle."""
+def _gram_partials(group: str, width: int, key_type: pa.DataType):
+    """mapInArrow function: per task and group the sums of z_i·z_j over the upper triangle."""
     rows, cols = np.triu_indices(width, 1)
 
-    def emit(held: dict) -> pd.DataFrame:
-        return pd.DataFrame({
-            "g": list(held),
-            "n": [n for n, _ in held.values()],
-            "sums": [gram[rows, cols] for _, gram in held.values()],
-        })
+    def emit(held: dict) -> pa.RecordBatch:
+        sums = [gram[rows, cols] for _, gram in held.values()]
+        arrays = [pa.array(list(held), key_type), pa.array([n for n, _ in held.values()]), pa.array(sums)]
+        return pa.RecordBatch.from_arrays(arrays, ["g", "n", "sums"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            z = batch.drop(columns=[group]).to_numpy(dtype=np.float64)
-            codes, names = pd.factorize(batch[group])
-            for k, name in enumerate(names):
+            z = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+            if np.isnan(z).any():
+                raise ValueError("the training table holds nulls")
+            keys = batch.column(group).dictionary_encode()
+            codes = keys.indices.to_numpy(zero_copy_only=False)
+            for k, name in enumerate(keys.dictionary.to_pylist()):
                 part = z[codes == k]
                 n, gram = held.get(name, (0, 0.0))
                 held[name] = (n + len(part), gram + part.T @ part)
@@ -188,7 +191,8 @@ def score_correlations(scores: DataFrame, group: str, columns: Sequence[str]) ->
     width = len(columns)
     rows, cols = np.triu_indices(width, 1)
     kind = scores.schema[group].dataType.simpleString()
-    partial = scores.mapInPandas(_gram_partials(group, width), f"g {kind}, n bigint, sums array<double>")
+    partials = _gram_partials(group, width, to_arrow_type(scores.schema[group].dataType))
+    partial = scores.mapInArrow(partials, f"g {kind}, n bigint, sums array<double>")
     summed = (
         partial.select("g", "n", F.posexplode("sums").alias("pair", "s"))
         .groupBy("g", "pair")
@@ -278,24 +282,31 @@ def _stream(seed: int, group: object, block: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, block], dtype=np.uint64)))
 
 
-def draw_block(columns, numeric, long, row, seed: int) -> pd.DataFrame:
-    """The rows of one block: correlated normals, turned back into values column by column."""
-    width = len(columns)
-    lower = np.asarray(row.factor, dtype=np.float64).reshape(width, width)
-    z = _stream(seed, row.g, row.block).standard_normal((int(row.rows), width)) @ lower.T
-    out = {}
+def draw_block(columns, numeric, long, parameters: dict, group: object, block: int, rows: int, seed: int) -> list[pa.Array]:
+    """The rows of one block, column by column: correlated normals turned back into values."""
+    z = _stream(seed, group, block).standard_normal((rows, len(columns))) @ parameters["lower"].T
+    out = []
     for i, c in enumerate(columns):
         if c in numeric:
-            mean, sd, low, high, digits = row.marginals[c]
+            mean, sd, low, high, digits = parameters["marginals"][c]
             x = np.clip(mean + sd * z[:, i], low, high)
             x = np.round(x, int(digits)) if digits <= MAX_DIGITS else x
-            out[c] = x.astype(np.int64) if c in long else x
+            out.append(pa.array(x.astype(np.int64) if c in long else x))
         else:
-            ends = row.categories[c]
+            ends, values = parameters["categories"][c]
             u = np.clip(0.5 + z[:, i] / math.sqrt(12.0), 0.0, 1.0)
-            at = np.minimum(np.searchsorted(ends["hi"], u, side="right"), len(ends["hi"]) - 1)
-            out[c] = np.asarray(ends["value"], dtype=object)[at]
-    return pd.DataFrame(out)
+            out.append(values.take(pa.array(np.minimum(np.searchsorted(ends, u, side="right"), len(ends) - 1))))
+    return out
+
+
+def _parameters(row: dict, width: int) -> dict:
+    return {
+        "lower": np.array(row["factor"], dtype=np.float64).reshape(width, width),
+        "marginals": dict(row["marginals"] or []),
+        "categories": {
+            c: (np.array(e["hi"]), pa.array(e["value"], pa.string())) for c, e in (row["categories"] or [])
+        },
+    }
 
 
 def sample_blocks(sizes: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -333,12 +344,21 @@ def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequen
     carried = {c: sizes.schema[c].dataType.simpleString() for c in (group, *carry)}
     schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **carried}.items())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.rename(columns={group: "g"}).itertuples(index=False):
-                out = draw_block(columns, set(numeric), set(long), row, seed)
-                for c in carried:
-                    out[c] = row.g if c == group else getattr(row, c)
-                yield out
+    arrow_types = {c: to_arrow_type(sizes.schema[c].dataType) for c in carried}
+    numbers, whole, names = set(numeric), set(long), [*columns, *carried]
 
-    return jobs.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            keys = batch.select([group, "block", "rows", *carry]).to_pylist()
+            for at, row in enumerate(keys):
+                if row[group] not in held:
+                    held = held if len(held) < GROUPS_IN_MEMORY else {}
+                    wide = batch.slice(at, 1).select(["factor", "marginals", "categories"]).to_pylist()[0]
+                    held[row[group]] = _parameters(wide, len(columns))
+                n = row["rows"]
+                drawn = draw_block(columns, numbers, whole, held[row[group]], row[group], row["block"], n, seed)
+                drawn += [pa.repeat(pa.scalar(row[c], arrow_types[c]), n) for c in carried]
+                yield pa.RecordBatch.from_arrays(drawn, names)
+
+    return jobs.mapInArrow(run, schema)

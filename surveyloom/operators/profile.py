@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import columns as C
 from surveyloom.operators.features import split_by_type
+from surveyloom.session import literal_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 ACCURACY = 10_000  # of percentile_approx: rank error at most 1 / ACCURACY of the rows
-BRACKET_VALUES = 1_000_000  # a bracket with at most this many rows or distinct values is ranked as it is
+BRACKET_ROWS = 200_000  # a bracket with at most this many rows is ranked as it is
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -53,80 +58,182 @@ def value_frequencies(
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlations ``(x, y, r)`` for every ordered pair, each over the rows where both are present.
 
-    One aggregate without a shuffle of rows. A constant column has no correlation: null.
+    Tasks turn their rows into matrix products around the column means, one small set of sums per task, which are then
+    added up per pair; hundreds of pairs would be too many for one generated aggregate. A column that is constant on
+    the rows of a pair has no correlation: null.
     """
     columns = split_by_type(df)[0] if columns is None else list(columns)
     pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    as_double = df.select(*[C.quoted(c).cast("double").alias(c) for c in columns])
-    sums = [
-        F.struct(*[f(C.quoted(x), C.quoted(y)).alias(n) for n, f in
-                   (("xx", F.regr_sxx), ("yy", F.regr_syy), ("xy", F.regr_sxy))]).alias(f"{i}")
-        for i, (x, y) in enumerate(pairs)
-    ]
-    cells = []
-    for i, (x, y) in enumerate(pairs):
-        r = F.try_divide(F.col(f"`{i}`.xy"), F.sqrt(F.col(f"`{i}`.xx")) * F.sqrt(F.col(f"`{i}`.yy")))
-        for a, b in {(x, y), (y, x)}:
-            cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
-    return as_double.agg(*sums).select(F.inline(F.array(*cells)))
+    at = {c: i for i, c in enumerate(columns)}
+    first, second = np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs])
+    as_double = df.select(*[C.quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = as_double.agg(*[F.avg(c) for c in as_double.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(names), len(pairs)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            known = ~np.isnan(x)
+            z, m = np.where(known, x, 0.0), known.astype(float)
+            products = (m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z)
+            held += np.array([p[first, second] for p in products])
+        pair = np.arange(len(pairs), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), *map(pa.array, held)], ["pair", *names])
+
+    schema = "pair int, " + ", ".join(f"{n} double" for n in names)
+    total = as_double.mapInArrow(sums, schema).groupBy("pair").agg(*[F.sum(n).alias(n) for n in names])
+    n = F.col("n")
+    xx, yy = (n * F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") for v in "xy")
+    varies = (xx > 1e-12 * n * F.col("sxx")) & (yy > 1e-12 * n * F.col("syy"))
+    xy = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    r = F.when(varies, F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy)))
+    both = F.array(
+        *[F.array(*[F.struct(F.lit(p).alias("x"), F.lit(q).alias("y")) for p, q in dict.fromkeys([(a, b), (b, a)])]) for a, b in pairs]
+    )
+    return total.select(r.alias("r"), F.inline(both[F.col("pair")])).select("x", "y", "r")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, null_count, mean, std, min, quartiles, max.
 
-    A quartile is the value at position round((n - 1)·q) of the sorted column, exactly. Columns are not sorted as a
-    whole: approximate percentiles around the position give a bracket, a count proves that it holds the position, and
-    only the distinct values inside are ranked.
+    A quartile is the value at position round((n - 1)·q) of the sorted column, half away from zero, exactly. Columns
+    are not sorted as a whole: approximate percentiles around the position give a bracket, a count proves that it holds
+    the position, and only the distinct values inside are ranked.
     """
     columns = split_by_type(df)[0] if columns is None else list(columns)
     values = df.select(*[C.quoted(c).cast("double").alias(c) for c in columns])
-    x = [C.quoted(c) for c in columns]
-    summary = values.agg(
-        *[
-            F.struct(
-                F.count(v).alias("count"),
-                F.count_if(v.isNull()).alias("null_count"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-            ).alias(str(i))
-            for i, v in enumerate(x)
-        ]
-    )
-    fields = ("count", "null_count", "mean", "std", "min", "max")
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), *[F.col(f"`{i}`.{f}").alias(f) for f in fields])
-            for i, c in enumerate(columns)
-        ]
-    )
-    quartiles = exact_quantiles(values, columns, QUARTILES)
+    percents = [p for q in QUARTILES.values() for p in _around(q)]
+    cells = values.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), C.quoted(c).alias("value")) for c in columns])))
+    v = F.col("value")
+    moments = cells.groupBy("feature").agg(
+        F.count(v).alias("count"), F.count_if(v.isNull()).alias("null_count"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    )
+    stats = {r["feature"]: r for r in moments.collect()}
+    stats = {c: stats[c] for c in columns if c in stats}
+    asked = [F.percentile_approx(C.quoted(c), percents, ACCURACY).alias(c) for c in stats]
+    near = values.agg(*asked).first() if stats else {}
+    brackets = {}
+    for c, s in stats.items():
+        for k, (name, q) in enumerate(QUARTILES.items()):
+            if s["count"]:
+                whole = _Bracket(s["min"], s["max"], _position(s["count"], q), inside=s["count"])
+                whole.guess = tuple(near[c][2 * k : 2 * k + 2])
+                brackets[c, name] = whole
+    quartiles = _ranked(values, _narrowed(values, brackets))
     wide = quartiles.groupBy("feature").pivot("quantile", list(QUARTILES)).agg(F.first("value"))
-    return (
-        summary.select(F.inline(rows))
-        .join(wide, "feature", "left")
-        .select("feature", "count", "null_count", "mean", "std", "min", *QUARTILES, "max")
+    summary = literal_table(
+        df.sparkSession,
+        {
+            "feature": pa.array(list(stats), pa.string()),
+            **{n: pa.array([s[n] for s in stats.values()], pa.int64()) for n in ("count", "null_count")},
+            **{n: pa.array([s[n] for s in stats.values()], pa.float64()) for n in ("mean", "std", "min", "max")},
+        },
+    )
+    return summary.join(wide, "feature", "left").select(
+        "feature", "count", "null_count", "mean", "std", "min", *QUARTILES, "max"
     )
 
 
-def exact_quantiles(values: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
-    """``(feature, quantile, value)``: the value at position round((n - 1)·q), half away from zero, nulls left out."""
-    brackets = _brackets(values, columns, quantiles)
+@dataclass
+class _Bracket:
+    """Values low..high hold the searched position; ``below`` rows are smaller than low, ``inside`` rows lie in it."""
+
+    low: float
+    high: float
+    position: int
+    below: int = 0
+    inside: int = 0
+    guess: tuple[float, float] | None = None
+
+    @property
+    def is_wide(self) -> bool:
+        return self.inside > BRACKET_ROWS and self.low < self.high
+
+
+def _position(n: int, q: float) -> int:
+    return math.floor((n - 1) * q + 0.5)
+
+
+def _around(q: float) -> list[float]:
+    """Percentages on both sides of q, further off than the error of an approximate percentile."""
+    return [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
+
+
+def _narrowed(
+    values: DataFrame, brackets: dict[tuple[str, str], _Bracket]
+) -> dict[tuple[str, str], _Bracket]:
+    """Replace wide brackets by their guess where a count proves it, and guess again inside while it helps.
+
+    A bracket whose guess fails is kept as it is, so the result is exact in any case. Only a handful of numbers per
+    column reaches the driver.
+    """
+    brackets = dict(brackets)
+    open_ = {k: b for k, b in brackets.items() if b.is_wide}
+    while open_:
+        by_column: dict[str, list] = {}
+        for k, b in open_.items():
+            by_column.setdefault(k[0], []).append((k, b))
+        depth = max(map(len, by_column.values()))
+        flags = [f"{part}{j}" for j in range(depth) for part in ("below", "inside")]
+        tests = []
+        for i, (c, members) in enumerate(by_column.items()):
+            x = C.quoted(c)
+            bits = [bit for _, b in members for bit in (x < b.guess[0], x.between(*b.guess))]
+            bits += [F.lit(False)] * (len(flags) - len(bits))
+            tests.append(F.struct(F.lit(i).alias("i"), *[bit.alias(n) for bit, n in zip(bits, flags)]))
+        found = values.select(F.inline(F.array(*tests))).groupBy("i").agg(*[F.count_if(n).alias(n) for n in flags])
+        rows = {r["i"]: r for r in found.collect()}
+        counts = {
+            k: (rows[i][f"below{j}"], rows[i][f"inside{j}"])
+            for i, members in enumerate(by_column.values())
+            for j, (k, _) in enumerate(members)
+        }
+        again = {}
+        for k, b in open_.items():
+            below, inside = counts[k]
+            if below <= b.position < below + inside and inside < b.inside:
+                brackets[k] = _Bracket(*b.guess, b.position, below, inside)
+                if brackets[k].is_wide:
+                    again[k] = brackets[k]
+        if again:
+            near = values.agg(
+                *[
+                    F.percentile_approx(
+                        F.when(C.quoted(c).between(b.low, b.high), C.quoted(c)),
+                        _around((b.position - b.below) / b.inside),
+                        ACCURACY,
+                    ).alias(str(i))
+                    for i, ((c, _), b) in enumerate(again.items())
+                ]
+            ).first()
+            for i, b in enumerate(again.values()):
+                b.guess = tuple(near[str(i)])
+        open_ = {k: b for k, b in again.items() if b.guess != (b.low, b.high)}
+    return brackets
+
+
+def _ranked(values: DataFrame, brackets: dict[tuple[str, str], _Bracket]) -> DataFrame:
+    """``(feature, quantile, value)``: rank the distinct values inside each bracket. Rows outside all are filtered first."""
+    if not brackets:
+        return values.sparkSession.createDataFrame([], "feature string, quantile string, value double")
+    within = [C.quoted(c).between(b.low, b.high) for (c, _), b in brackets.items()]
     targets = F.array(
         *[
             F.struct(
                 F.lit(c).alias("feature"),
                 F.lit(name).alias("quantile"),
                 F.lit(b.position - b.below).cast("bigint").alias("position"),
-                F.when(C.quoted(c).between(b.low, b.high), C.quoted(c)).alias("value"),
+                F.when(hit, C.quoted(c)).alias("value"),
             )
-            for (c, name), b in brackets.items()
+            for ((c, name), b), hit in zip(brackets.items(), within)
         ]
     )
     counts = (
-        values.select(F.explode(targets).alias("t"))
-        .select("t.*")
+        values.where(reduce(or_, within))
+        .select(F.inline(targets))
         .where(F.col("value").isNotNull())
         .groupBy("feature", "quantile", "position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -135,64 +242,3 @@ def exact_quantiles(values: DataFrame, columns: Sequence[str], quantiles: Mappin
     ranked = counts.select("*", F.sum("n").over(upto).alias("upto"))
     hit = (F.col("upto") - F.col("n") <= F.col("position")) & (F.col("position") < F.col("upto"))
     return ranked.where(hit).select("feature", "quantile", "value")
-
-
-@dataclass
-class _Bracket:
-    """Values low..high hold the searched position; ``below`` rows are smaller than low."""
-
-    low: float
-    high: float
-    position: int
-    below: int = 0
-    inside: int = 0
-
-
-def _brackets(
-    values: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float]
-) -> dict[tuple[str, str], _Bracket]:
-    """Narrow every (column, quantile) to few distinct values. A handful of numbers per column reaches the driver."""
-    x = {c: C.quoted(c) for c in columns}
-    ends = values.agg(
-        *[F.struct(F.count(v), F.min(v), F.max(v)).alias(str(i)) for i, v in enumerate(x.values())]
-    ).first()
-    found = {
-        (c, name): _Bracket(low, high, int(math.floor((n - 1) * q + 0.5)), inside=n)
-        for i, c in enumerate(columns)
-        for n, low, high in [tuple(ends[str(i)])]
-        if n > 0
-        for name, q in quantiles.items()
-    }
-    wide = {k: b for k, b in found.items() if b.inside > BRACKET_VALUES and b.low < b.high}
-    while wide:
-        asked, percents = [], {}
-        for i, ((c, _), b) in enumerate(wide.items()):
-            centre, margin = (b.position - b.below) / b.inside, 3 / ACCURACY
-            percents[i] = [max(0.0, centre - margin), min(1.0, centre + margin)]
-            kept = F.when(x[c].between(b.low, b.high), x[c])
-            asked.append(F.percentile_approx(kept, percents[i], ACCURACY).alias(str(i)))
-        answer = values.agg(*asked).first()
-        trial = {
-            k: (b.low if percents[i][0] == 0.0 else answer[str(i)][0], b.high if percents[i][1] == 1.0 else answer[str(i)][1])
-            for i, (k, b) in enumerate(wide.items())
-        }
-        checks = values.agg(
-            *[
-                F.struct(
-                    F.count_if(x[c] < low),
-                    F.count_if(x[c].between(low, high)),
-                    F.approx_count_distinct(F.when(x[c].between(low, high), x[c])),
-                ).alias(str(i))
-                for i, ((c, _), (low, high)) in enumerate(trial.items())
-            ]
-        ).first()
-        again = {}
-        for i, (k, b) in enumerate(wide.items()):
-            below, inside, distinct = checks[str(i)]
-            if not below <= b.position < below + inside or inside == b.inside:
-                continue  # not proven, or no narrower: rank within the bracket known so far
-            found[k] = _Bracket(*trial[k], b.position, below, inside)
-            if distinct > BRACKET_VALUES:
-                again[k] = found[k]
-        wide = again
-    return found

@@ -38,11 +38,18 @@ def test_describe(table):
 
 def test_describe_through_brackets(table, monkeypatch):
     """Narrowing gives the same positions, also where half of a column is one value."""
-    monkeypatch.setattr(profile, "BRACKET_VALUES", 10)
+    monkeypatch.setattr(profile, "BRACKET_ROWS", 10)
     monkeypatch.setattr(profile, "ACCURACY", 100)
     _check(table)
 
 
+def test_describe_when_the_guess_fails(table, monkeypatch):
+    """Guesses that do not hold the position are not used."""
+    monkeypatch.setattr(profile, "BRACKET_ROWS", 10)
+    monkeypatch.setattr(profile, "_around", lambda q: [0.9, 0.95])
+    _check(table)
+
+
 def test_describe_of_an_empty_column(spark):
     df = spark.createDataFrame([(None, 1), (None, 2)], "a double, b int")
     got = {r["feature"]: r for r in profile.describe(df).collect()}
@@ -74,6 +81,6 @@ def test_shape(table):
     assert tuple(profile.shape(table).first()) == (2000, 4)
 
 
-def test_statistics_do_not_shuffle_rows(table):
+def test_correlation_shuffles_sums_per_pair_and_no_rows(table):
     plan = profile.correlation_matrix(table)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(pair" in plan
