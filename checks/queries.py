@@ -358,12 +358,17 @@ def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
 # profile
 
 
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The numeric columns with their nulls as a table on disk, which is what gets profiled."""
+    return written(_cast(spark, sf).select("PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"), "numbers")
+
+
 def describe(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(profile.describe(_cast(spark, sf), ["PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"]))
+    return _rounded(profile.describe(_numbers(spark, sf)))
 
 
 def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(profile.correlation_matrix(_cast(spark, sf), ["PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"]))
+    return _rounded(profile.correlation_matrix(_numbers(spark, sf)))
 
 
 def unique_counts(spark: SparkSession, sf: str) -> DataFrame:
