@@ -138,3 +138,9 @@ def test_lookup_tables_are_broadcast_and_rows_not_shuffled(training, model):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
     assert plan.count("BroadcastHashJoin") == 2
+
+
+def test_training_with_nulls_is_an_error(spark):
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", None, "y"), ("a", 3.0, "x")], "g string, v double, c string")
+    with pytest.raises(Exception, match="holds nulls"):
+        copula.fit_copula(df, "g", ["v", "c"])
