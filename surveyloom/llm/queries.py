@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.quality_rules import quality_rules
 
@@ -12,6 +14,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    kept = apply_bitmaps(docs, line_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
@@ -21,8 +29,31 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP1 = f"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+    SELECT doc_id, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM split
+), keyed AS (
+    SELECT *, translate(trim(line, {WHITE}), '{UPPER}', '{LOWER}') AS key FROM line
+), shared AS (
+    SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT keyed.*, top IS NOT NULL AND top <> doc_id AS gone FROM keyed LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1,
+}
