@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.quality_rules import quality_rules
+from surveyloom.llm.token_binary import read_tokens, write_tokens
+from surveyloom.session import scratch_path
+
+
+def tokenizer_path() -> str:
+    """File of the byte-level vocabulary; the package that holds it is part of the installation on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +29,11 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_token_binary(spark: SparkSession, sf: str) -> DataFrame:
+    path = write_tokens(_table(spark, sf, "documents"), scratch_path(spark, "tokens"), tokenizer_path())
+    return read_tokens(spark, path, digest=True)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
@@ -30,6 +44,7 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_binary": op2_token_binary,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
