@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
+from surveyloom.llm.mixing import mix_sources
 from surveyloom.llm.quality_rules import quality_rules
+from surveyloom.llm.secret_scan import BASE, RULES, scan_secrets, span_list
 from surveyloom.llm.token_binary import read_tokens, write_tokens
 from surveyloom.session import scratch_path
 
@@ -38,6 +40,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
+    found = scan_secrets(versions, scratch_path(spark, "secret-ledger"))
+    kinds = [rule.kind for rule in BASE]
+    base = F.filter("found", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(F.array_remove("found.kind", k)) for k in kinds]
+    counts = [(F.size("found") - n).cast("bigint").alias(f"n_{k}") for k, n in zip(kinds, counts)]
+    digest = F.sha2(span_list(base), 256).alias("base_sha256")
+    return found.select(F.col("path").alias("doc_id"), *counts, digest, span_list(F.col("found")).alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(_table(spark, sf, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(_table(spark, sf, "documents"))
 
@@ -46,6 +64,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_binary": op2_token_binary,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -69,6 +89,67 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+
+
+def _op5() -> str:
+    """Spans by the lengths of the texts before and of the matches, as in the operator."""
+    kinds = []
+    for place, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(f"""
+    SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, {rule.least} AS least, string_split_regex(t, '{pattern}') AS gaps,
+        regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {rule.group}) AS vals FROM d""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(kinds)}
+), r AS (
+    SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m
+), s AS (
+    SELECT doc_id, kind, place, least, length(vals[i]) AS size, list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+        + list_sum(list_transform(hits[1:i], lambda x: length(x))) AS stop, length(hits[i]) AS span FROM r
+), f AS (
+    SELECT doc_id, kind, place, CAST(stop - span AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE size >= least
+), g AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+    FROM f GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+OP6 = """
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+    SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
+), c AS (
+    SELECT *, (SELECT sum(source_size) FROM s) AS whole, 3 * sum(source_size) OVER own AS limits, sum(weight) OVER own AS weights,
+        (SELECT sum(weight) FROM w) AS all_weights
+    FROM w WINDOW own AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), level AS (
+    SELECT greatest(max(CASE WHEN all_weights > weights THEN CAST(whole - limits AS DOUBLE) / CAST(all_weights - weights AS DOUBLE) END),
+        max(CAST(whole AS DOUBLE) / CAST(all_weights AS DOUBLE))) AS level FROM c
+), t AS (
+    SELECT source, source_size, CASE WHEN weight * level > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * level END AS target
+    FROM w, level
+), r AS (
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+        CAST('0x' || substr(md5(concat_ws(':', '20240229', doc_id)), 1, 13) AS BIGINT) / 4503599627370496.0 AS draw
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (
+    SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS n_copies FROM r
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, n_copies, size * n_copies AS taken FROM n
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1,
+    "op5_secret_scan": _op5(),
+    "op6_mixing": OP6,
 }
