@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.mixing import mix_sources
@@ -40,6 +41,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_binary": op2_token_binary,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
