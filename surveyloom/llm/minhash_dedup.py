@@ -9,7 +9,8 @@ Documents with equal sets are one class and only its smallest id goes on. In eac
 buckets with others is the centre, and the others are compared with it only: a bucket of m members gives m - 1 candidates.
 Candidates are confirmed on full shingle sets. Buckets whose members are still in several components go to further rounds
 with eight times as many centres, until each of their members has been compared with every member of other components, so
-a star loses no link that the buckets hold.
+a star loses no link that the buckets hold. Before a text is read, a sketch of four bits per bin (Li, König, "b-Bit
+Minwise Hashing", WWW 2010) rules out pairs whose similarity is far below the threshold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import text as T
@@ -29,18 +30,28 @@ from surveyloom.llm.scratch import Scratch, documents, ship
 
 @dataclass(frozen=True)
 class Settings:
-    """48 bands of 5 bins miss a pair of similarity 0.75 with probability 2·10^-6, and 0.85 with 10^-12."""
+    """48 bands of 5 bins miss a pair of similarity 0.75 with probability 2·10^-6, and 0.85 with 10^-12.
+
+    A pair goes on if its sketches agree in at least the number of bins that a pair at the threshold has in expectation, less
+    ``deviations`` standard deviations; 4.8 loses such a pair with probability 10^-6.
+    """
 
     shingle: int = 5
     percent: int = 75
     bands: int = 48
     rows: int = 5
     growth: int = 8
+    deviations: float = 4.8
 
     @property
     def bins(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_agreement(self) -> int:
+        agree = self.percent / 100 + (1 - self.percent / 100) / 16
+        return int(self.bins * agree - self.deviations * (self.bins * agree * (1 - agree)) ** 0.5)
+
 
 def probe_order(bins: int) -> np.ndarray:
     """For every bin a fixed random order of all bins."""
@@ -70,8 +81,27 @@ def signature(distinct: np.ndarray, order: np.ndarray) -> np.ndarray:
     return values
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Four bits of every bin, sixteen bins to a 64-bit word."""
+    bits = T.mix(values) & T.U(15)
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 16, dtype=np.uint64)]).reshape(-1, 16)
+    return T.signed((bits << (T.U(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
+
+
+def agreement(a: str, b: str, bins: int) -> Column:
+    """Bins in which two sketches agree."""
+    words = -(-bins // 16)
+    differing = F.lit(0)
+    for i in range(words):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        some = some.bitwiseOR(F.shiftrightunsigned(some, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differing += F.bit_count(some)
+    return F.lit(bins) - differing
+
+
 SET = ["n_shingles", "set_a", "set_b"]  # what tells sets apart
-SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>"
+SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>, sketch array<bigint>"
 
 
 def sign(settings: Settings):
@@ -88,12 +118,15 @@ def sign(settings: Settings):
                 n = np.zeros(end - start, dtype=np.int64)
                 digests = np.zeros((end - start, 2), dtype=np.uint64)
                 buckets: list = [None] * (end - start)
+                sketches: list = [None] * (end - start)
                 for i in range(end - start):
                     distinct = np.unique(grams[at[i] : at[i + 1]])
                     n[i] = len(distinct)
                     if len(distinct):
                         digests[i] = distinct.sum(), T.mix(distinct + T.U(0x5851F42D4C957F2D)).sum()
-                        rows = signature(distinct, order).reshape(settings.bands, settings.rows)
+                        values = signature(distinct, order)
+                        sketches[i] = sketch(values)
+                        rows = values.reshape(settings.bands, settings.rows)
                         joined = (rows * T.STEPS[: settings.rows]).sum(axis=1, dtype=np.uint64)
                         buckets[i] = T.signed(T.mix(joined + band))
                 yield pa.RecordBatch.from_arrays(
@@ -103,8 +136,9 @@ def sign(settings: Settings):
                         pa.array(T.signed(np.ascontiguousarray(digests[:, 0]))),
                         pa.array(T.signed(np.ascontiguousarray(digests[:, 1]))),
                         pa.array(buckets, pa.list_(pa.int64())),
+                        pa.array(sketches, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets", "sketch"],
                 )
 
     return run
@@ -135,28 +169,36 @@ def confirm(settings: Settings):
     return run
 
 
-def candidates(members: DataFrame, slots: int | None, settings: Settings) -> DataFrame:
-    """Pairs of a bucket's centres with its members in other components, each pair once and with fitting set sizes.
+def candidates(members: DataFrame, sketches: DataFrame, slots: int | None, settings: Settings) -> DataFrame:
+    """Pairs of a bucket's centres with its members in other components, each pair once, if sizes and sketches allow it.
 
     ``members (bucket, node, weight, n, component)``. ``slots``: so many centres at most per bucket, the heaviest member of
-    each slot; None makes every member a centre.
+    each slot; None makes every member a centre. The first round pairs nearly all buckets, so it fetches the sketches
+    for the distinct pairs; later rounds test them inside the join of the few buckets left.
     """
     slot = F.col("node") if slots is None else F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "component")).alias("best")
+    first = slots == 1
+    if not first:
+        members = members.join(sketches, "node")
+    extra = [] if first else ["sketch"]
+    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "component", *extra)).alias("best")
     centres = members.groupBy("bucket", slot.alias("slot")).agg(best).select(
-        "bucket",
+        F.col("bucket").alias("of"),
         (-F.col("best.minus")).alias("centre"),
         F.col("best.n").alias("centre_n"),
         F.col("best.component").alias("centre_component"),
+        *[F.col(f"best.{c}").alias(f"centre_{c}") for c in extra],
     )
-    fits = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * settings.percent
-    apart = F.col("component") != F.col("centre_component")
-    return (
-        members.join(centres, "bucket")
-        .where(apart & fits)
-        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        .distinct()
-    )
+    same = F.col("bucket") == F.col("of")
+    same &= F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * settings.percent
+    same &= F.col("component") != F.col("centre_component")
+    if not first:
+        same &= agreement("sketch", "centre_sketch", settings.bins) >= settings.least_agreement
+    pairs = members.join(centres, same).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    if first:
+        pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+        pairs = pairs.where(agreement("sketch_a", "sketch_b", settings.bins) >= settings.least_agreement).select("a", "b").distinct()
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -198,11 +240,12 @@ def _near_links(docs: DataFrame, full: DataFrame, classes: DataFrame, scratch: S
     members = scratch.write(sized.drop("size").join(weights, ["node", "n"]), "members")
     texts = docs.join(weights.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
     texts = scratch.write(texts, "texts")
+    sketches = scratch.write(signed.select("node", "sketch").join(weights.select("node").distinct(), "node"), "sketches")
     labelled = members.withColumn("component", F.col("node"))
     links = done = None
     slots: int | None = 1
     while True:
-        pairs = candidates(labelled, slots, settings)
+        pairs = candidates(labelled, sketches, slots, settings)
         pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
         checked = _checked(scratch.write(pairs, "pairs"), texts, scratch, settings)
         good = checked.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
