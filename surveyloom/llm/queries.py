@@ -9,6 +9,7 @@ from surveyloom.llm.decontaminate import contaminated
 from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.mixing import mix_sources
+from surveyloom.llm.passages import repeated_passages
 from surveyloom.llm.quality_rules import quality_rules
 from surveyloom.llm.secret_scan import BASE, RULES, scan_secrets, span_list
 from surveyloom.llm.token_binary import read_tokens, write_tokens
@@ -65,6 +66,10 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(_table(spark, sf, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_binary": op2_token_binary,
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
