@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm.decontaminate import contaminated
+from surveyloom.llm.language import identify_languages
 from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.mixing import mix_sources
@@ -62,6 +63,10 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_table(spark, sf, "documents"))
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_languages(_table(spark, sf, "documents")).drop("spans")
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(_table(spark, sf, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
