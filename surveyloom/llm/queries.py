@@ -11,6 +11,7 @@ from surveyloom.llm.line_dedup import apply_bitmaps, line_bitmaps
 from surveyloom.llm.minhash_dedup import near_duplicates
 from surveyloom.llm.mixing import mix_sources
 from surveyloom.llm.passages import repeated_passages
+from surveyloom.llm.quality_classifier import score_quality
 from surveyloom.llm.quality_rules import quality_rules
 from surveyloom.llm.secret_scan import BASE, RULES, scan_secrets, span_list
 from surveyloom.llm.token_binary import read_tokens, write_tokens
@@ -71,6 +72,11 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(_table(spark, sf, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables have no addresses: a document's source is its host, the language within it its path."""
+    return score_quality(_table(spark, sf, "documents"), _table(spark, sf, "labels"), F.col("source"), F.col("lang"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(_table(spark, sf, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
