@@ -77,21 +77,47 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("bigint")).cast("bigint")
 
 
+def source_rates(sizes: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> DataFrame:
+    """``(of, source_size, target, rate)`` per source from ``sizes (source, size)``; a source without words has rate 0."""
+    totals = scratch.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
+    targets = source_targets(totals, scratch, settings).withColumnRenamed("source", "of")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return scratch.write(targets.withColumn("rate", rate), "source-rates")
+
+
 def mix_sources(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, n_copies, taken``.
 
     ``size`` is the number of words, 0 for a null or empty text. A null source is a source of its own, the last in order. Rows with the
-    same id share a draw, a null id has the draw of null. A source without words has target 0. An empty table gives an empty result; extra columns
-    are not read. Equal input and seed give equal copies in every run.
+    same id share a draw, a null id has the draw of null. A source without words has target 0. An empty table gives an empty
+    result; extra columns are not read. Equal input and seed give equal copies in every run.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
+    with Scratch(docs.sparkSession) as scratch:
         columns = [F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")]
         sizes = scratch.write(docs.select(*columns), "sizes")
-        totals = scratch.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
-        targets = scratch.write(source_targets(totals, scratch, settings), "source-targets").withColumnRenamed("source", "of")
-        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        out = sizes.join(targets, F.col("source").eqNullSafe(F.col("of")))
-        out = out.withColumn("n_copies", copies(rate, F.col("doc_id"), settings.seed))
+        rates = source_rates(sizes, scratch, settings)
+        out = sizes.join(rates, F.col("source").eqNullSafe(F.col("of")))
+        out = out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), settings.seed))
         out = out.select("doc_id", "size", "source_size", "target", "n_copies", (F.col("size") * F.col("n_copies")).alias("taken"))
         return scratch.keep(out, "mix")
+
+
+def emit_copies(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` says, all columns unchanged; texts are not shuffled by id.
+
+    Extra columns may have any name: helper columns take names that ``docs`` lacks.
+    """
+    of, rate, copy = (free_name(docs, name) for name in ("of", "rate", "copy"))
+    with Scratch(docs.sparkSession) as scratch:
+        sizes = docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+        rates = source_rates(sizes, scratch, settings).select(F.col("of").alias(of), F.col("rate").alias(rate))
+        rated = docs.join(rates, F.col(source).cast("string").eqNullSafe(F.col(of)))
+        n = copies(F.col(rate), F.col(key).cast("bigint"), settings.seed)
+        each = rated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
+        return scratch.keep(each.drop(of, rate, copy), "mixed")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
