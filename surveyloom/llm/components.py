@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from surveyloom.llm.scratch import Scratch
@@ -10,9 +10,12 @@ from surveyloom.llm.scratch import Scratch
 MAX_ROUNDS = 100
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The written table, with its number of rows and an order-free checksum taken while it was written."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
+    table = scratch.write(edges.observe(seen, *sums), "links")
+    return table, (seen.get["n"], seen.get["x"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,18 +42,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = links.where(F.col("u") != F.col("v"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = scratch.write(edges, "links")
-    before = _checksum(edges)
+    edges, before = _written(edges, scratch)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = scratch.write(_small_star(_large_star(edges)), "links")
-        now = _checksum(edges)
+        edges, now = _written(_small_star(_large_star(edges)), scratch)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select("v", "v").distinct()
-    )
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

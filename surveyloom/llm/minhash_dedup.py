@@ -218,8 +218,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
         classes = scratch.write(full.groupBy(*SET).agg(F.min("doc_id").alias("rep")), "classes")
         copies = full.join(classes, SET).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
         links = scratch.write(copies.where("u != v").distinct(), "copies")
-        near = _near_links(docs, full, classes, scratch, settings)
-        found = components(links.union(near), scratch)
+        found = _all_components(docs, full, classes, links, scratch, settings)
         out = (
             signed.select("doc_id", "n_shingles")
             .join(found, F.col("doc_id") == F.col("node"), "left")
@@ -229,8 +228,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
         return scratch.keep(out, "near-duplicates")
 
 
-def _near_links(docs: DataFrame, full: DataFrame, classes: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
-    """Confirmed links between representatives of different sets."""
+def _all_components(docs: DataFrame, full: DataFrame, classes: DataFrame, links: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
+    """Components of ``links`` between equal sets and of the confirmed links between representatives of different ones."""
     signed = full.join(classes.withColumnRenamed("rep", "node"), SET).where(F.col("doc_id") == F.col("node"))
     signed = signed.dropDuplicates(["node", *SET])
     rows = signed.select(F.explode("buckets").alias("bucket"), "node", F.col("n_shingles").alias("n"))
@@ -242,7 +241,7 @@ def _near_links(docs: DataFrame, full: DataFrame, classes: DataFrame, scratch: S
     texts = scratch.write(texts, "texts")
     sketches = scratch.write(signed.select("node", "sketch").join(weights.select("node").distinct(), "node"), "sketches")
     labelled = members.withColumn("component", F.col("node"))
-    links = done = None
+    done = None
     slots: int | None = 1
     while True:
         pairs = candidates(labelled, sketches, slots, settings)
@@ -250,17 +249,17 @@ def _near_links(docs: DataFrame, full: DataFrame, classes: DataFrame, scratch: S
         checked = _checked(scratch.write(pairs, "pairs"), texts, scratch, settings)
         good = checked.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
-        links = good if links is None else links.union(good)
+        links = links.union(good)
+        result = components(links, scratch)
         if slots is None:
-            return links
-        found = components(links, scratch).withColumnRenamed("component", "found")
-        now = labelled.drop("component").join(found, "node", "left")
+            return result
+        now = labelled.drop("component").join(result.withColumnRenamed("component", "found"), "node", "left")
         now = now.withColumn("component", F.coalesce("found", "node")).drop("found")
         ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
         unsettled = now.groupBy("bucket").agg(*ends).where("low != high and size > 2")
         largest = unsettled.agg(F.max("size")).first()[0]
         if largest is None:
-            return links
+            return result
         labelled = scratch.write(now.join(unsettled.select("bucket"), "bucket"), "members")
         slots = slots * settings.growth if slots * settings.growth < largest else None
 
