@@ -39,10 +39,10 @@ class Limits:
     level: int = 3
     chunk_bytes: int = 4096
     bands: tuple[tuple[int, float, float], ...] = (
-        (512, 0.12, 0.98),
-        (2048, 0.08, 0.92),
-        (16384, 0.05, 0.85),
-        (131072, 0.03, 0.80),
+        (512, 0.12, 0.95),
+        (2048, 0.08, 0.80),
+        (16384, 0.05, 0.75),
+        (131072, 0.03, 0.70),
     )
     max_bad_chunks: float = 0.5
 
