@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -52,9 +53,16 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self._write(df, scratch_path(self.spark, name))
 
-    def drop_last(self) -> None:
-        """Remove the table written last, when nothing will read it again."""
-        remove(self.spark, self.paths.pop())
+    def settle(self, *names: str) -> None:
+        """Free disk: remove the tables of these names, and let the driver collect plans, so that Spark drops their shuffle files.
+
+        What was written needs no shuffle any more, but its files stay on the executors until the plan is garbage.
+        """
+        for path in [p for p in self.paths if any(p.rsplit("/", 1)[-1].startswith(f"{n}-") for n in names)]:
+            remove(self.spark, path)
+            self.paths.remove(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -23,14 +23,14 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _table(fold: bool) -> np.ndarray:
-    values = np.random.Generator(np.random.Philox(key=20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
+def _table(key: int, fold: bool) -> np.ndarray:
+    values = np.random.Generator(np.random.Philox(key=key)).integers(1, 1 << 63, 256, dtype=np.uint64)
     if fold:
         values[65:91] = values[97:123]
     return values
 
 
-TABLES = {False: _table(False), True: _table(True)}
+TABLES = {False: _table(20240229, False), True: _table(20240229, True), None: _table(777, False)}
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
@@ -104,8 +104,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(starts, ends, np.repeat(np.arange(rows), np.diff(first)), first)
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """Hash of data[start:end] for every range."""
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool | None) -> np.ndarray:
+    """Hash of data[start:end] for every range; ``fold`` None gives another, independent hash."""
     powers, inverse = _grown(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(TABLES[fold][data] * powers[: len(data)], out=total[1:])

@@ -9,13 +9,14 @@ a lost or repeated task leaves none behind.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm import ans
 from surveyloom.llm.scratch import Scratch, documents, ship, tasks_for
-from surveyloom.llm.text import slices
+from surveyloom.llm.text import hash_ranges, slices
 
-CACHE_PIECES = 400_000  # pieces of text whose ids a worker remembers; then it starts anew
-SIDE_BY_SIDE = 1_000_000  # tokens that a task holds to encode at once
+CACHE_PIECES = 500_000  # pieces of text whose ids a worker remembers; then it starts anew
+TOGETHER = 1000  # new pieces that the library gets as one text
+SLICE_BYTES = 4_000_000
+SIDE_BY_SIDE = 3_000_000  # tokens that a task holds to encode at once
 
 
 @dataclass(frozen=True)
@@ -36,22 +39,34 @@ class Settings:
     block_tokens: int = 65_536
 
 
+SPACE, BREAK = ord(" "), ord("\n")
+# Last and next to last bytes that white space beyond ASCII may have; other characters with such bytes are only cut less often.
+TAIL, BEFORE_TAIL = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+TAIL[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+BEFORE_TAIL[[0xC2, 0x80, 0x81, 0x9A]] = True
+
+
+def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of pieces: of each text that is not empty, and of spaces and line breaks after something that is no white space."""
+    cut = (data == SPACE) | (data == BREAK)
+    cut[1:] &= data[:-1] > 0x20
+    cut[2:] &= ~(TAIL[data[1:-1]] & BEFORE_TAIL[data[:-2]])
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    cut[begins] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """A tokenizer with a memory of pieces.
 
     Byte-level pre-tokenizers never join a character with a space or line break after it, so a text may be cut before a space or
-    line break that follows something else than white space, and equal pieces have equal ids. That halves or better the
-    work of the library. Where the rule does not hold (another pre-tokenizer, a normaliser, a special token in the text),
-    the library gets the whole text.
+    line break that follows something else than white space, and equal pieces have equal ids. The library sees each new
+    piece once. Where the rule does not hold (another pre-tokenizer, a normaliser, a special token in the text), it gets the
+    whole text. Pieces are told apart by two hashes of 64 bits each.
     """
 
-    cut = re.compile(r"(?<!\s)(?=[ \n])")
-    odd = re.compile(r"\s[ \n]")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,47 +74,73 @@ class Encoder:
         before = state.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cuts = plain and not state.get("normalizer") and not state.get("post_processor")
-        self.special = [t["content"] for t in state.get("added_tokens", [])]
+        self.special = [t["content"].encode() for t in state.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.bytes_of = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes_of[i] = len(token)  # byte-level vocabularies write each byte as one character
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
-    def pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return self.cut.split(text)
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return [head, *[p if p[:1] == "\n" else " " + p for p in rest]]
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that may follow each other in a text: coded as one text, told apart by the bytes that tokens stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in pieces])) + 1
+        coded = ids.astype(self.kind)
+        return [coded[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def _learn(self, wanted: set[str]) -> None:
+    def _learn(self, wanted: list[bytes]) -> None:
         """Ids of new pieces; a letter before a final , or . ends a pre-token, so that mark is looked up by itself."""
-        stems = {p: p[:-1] for p in wanted if len(p) > 2 and p[-1] in ",." and p[-2].isalpha() and p[-2].isascii()}
-        new = {stems.get(p, p) for p in wanted} | {p[-1] for p in stems}
+        stems = {p: p[:-1] for p in wanted if len(p) > 2 and p[-1:] in (b",", b".") and p[-2:-1].isalpha()}
+        new = {stems.get(p, p) for p in wanted} | {p[-1:] for p in stems}
         new = [p for p in new if p not in self.known]
-        self.known.update(zip(new, self._library(new)))
+        joins = [p for p in new if p[0] in (SPACE, BREAK) and p[-1] > 0x20 and not (TAIL[p[-1]] and BEFORE_TAIL[p[-2]])]
+        alone = list(set(new).difference(joins))
+        self.known.update(zip(alone, self._library([p.decode() for p in alone])))
+        for i in range(0, len(joins), TOGETHER):
+            self.known.update(zip(joins[i : i + TOGETHER], self._together(joins[i : i + TOGETHER])))
         for piece, stem in stems.items():
-            self.known[piece] = self.known[stem] + self.known[piece[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``kind``."""
-        if not self.cuts:
-            return self._library(texts)
+            self.known[piece] = self.known[stem] + self.known[piece[-1:]]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self._learn([p for p, ids in zip(pieces, found) if ids is None])
+            found = list(map(self.known.get, pieces))
+        return found
+
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text begins); texts are data[offsets[i]:offsets[i + 1]]."""
+        raw = data.tobytes()
+        n = len(offsets) - 1
+        if not self.cuts or any(s in raw for s in self.special):
+            parts = [np.frombuffer(x, self.kind) for x in self._library([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
+            return np.concatenate([np.zeros(0, self.kind), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        if not len(raw):
+            return np.zeros(0, self.kind), np.zeros(n + 1, dtype=np.int64)
         if len(self.known) > CACHE_PIECES:
             self.known = {}
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        out = dict(zip(whole, self._library([texts[i] for i in whole])))
-        split = {i: self.pieces(t) for i, t in enumerate(texts) if i not in out}
-        wanted: set[str] = set()
-        for pieces in split.values():
-            wanted.update(pieces)
-        self._learn(wanted - self.known.keys())
-        known = self.known
-        for i, pieces in split.items():
-            out[i] = b"".join([known[p] for p in pieces])
-        return [out[i] for i in range(len(texts))]
+        starts = cut_places(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        one, two = (hash_ranges(data, starts, ends, fold=f) for f in (False, None))
+        which, distinct = pd.factorize(one)
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        if (two != two[first][which]).any():  # two pieces with one hash
+            first, which = np.arange(len(starts)), np.arange(len(starts))
+        ids = self._pieces([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        lengths = np.array([len(x) for x in ids], dtype=np.int64) // self.kind.itemsize
+        begin = np.cumsum(lengths) - lengths
+        size = lengths[which]
+        at = np.cumsum(size) - size
+        total = int(at[-1] + size[-1])
+        out = pool[np.repeat(begin[which] - at, size) + np.arange(total)]
+        return out, np.append(at, total)[np.searchsorted(starts, offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -115,18 +156,18 @@ def tokenize(path: str, end_id: int):
     """Ids of each document with the end id, packed with zstandard for the way through the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         coder = encoder(path)
-        end = np.array([end_id], dtype=coder.kind).tobytes()
+        end = np.array([end_id], dtype=coder.kind)
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column("text")):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(last - first)]
-                ids = [raw + end for raw in coder.encode(texts)]
+            for first, last, data, offsets in slices(batch.column("text"), SLICE_BYTES):
+                flat, bounds = coder.encode_slice(data, offsets)
+                ids = [np.concatenate([flat[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:])]
                 columns = [
                     batch.column("doc_id").slice(first, last - first),
-                    pa.array([len(raw) // coder.kind.itemsize for raw in ids], pa.int64()),
-                    pa.array([zlib.crc32(raw) for raw in ids], pa.int64()),
-                    pa.array([packer.compress(raw) for raw in ids], pa.binary()),
+                    pa.array(np.diff(bounds) + 1),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array([packer.compress(x) for x in ids], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "tie", "ids"])
 
@@ -226,6 +267,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, settings: Settings
         spark.createDataFrame(list(zip(used.tolist(), freq[used].tolist())), "token bigint, freq bigint").coalesce(1).write.parquet(f"{path}/frequencies")
         order = [F.asc_nulls_first("doc_id"), F.col("n_tokens"), F.col("tie")]
         ranges = tokens.repartitionByRange(tasks_for(docs), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+        scratch.settle()
         ranges.mapInArrow(pack(kind, freq.tolist(), settings.block_tokens), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("part", "block", "n_tokens")
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one row per range
@@ -243,8 +285,8 @@ def unpack(freq: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ans.Table.of(freq)
         for batch in batches:
-            for at in range(0, len(batch), 8):
-                part = batch.slice(at, 8)
+            for at in range(0, len(batch), 16):
+                part = batch.slice(at, 16)
                 for row, ids in zip(part.drop_columns(["payload"]).to_pylist(), ans.decode(part.column("payload").to_pylist(), table)):
                     lengths = np.array(row["lengths"], dtype=np.int64)
                     ends = np.cumsum(lengths)

@@ -153,10 +153,14 @@ def test_encoder_equals_library():
     parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "　", "a", "é", "Word", "!", ",", ".", "'s", "12", "²", "<|endoftext|>", "日本", "--"]
     draw = np.random.default_rng(3)
     texts = ["".join(draw.choice(parts, draw.integers(0, 20))) for _ in range(2000)]
+    texts += ["", "a\u3000 b", "à b", "é\u00a0 b", "x\u2028\ny"]
     coder, plain = token_binary.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     assert coder.cuts
-    expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(raw, coder.kind).tolist() for raw in coder.encode(texts)] == expected
+    for some in (texts, [t for t in texts if "endoftext" not in t], [""]):
+        raw = [t.encode() for t in some]
+        ids, bounds = coder.encode_slice(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        expected = [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == expected
 
 
 def expected_tokens(texts):
