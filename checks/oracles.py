@@ -135,7 +135,7 @@ def _marginals() -> str:
 
 def _correlation() -> str:
     """Correlation with the uniform draw inside the intervals: covariance of midpoints, variance plus width²/12."""
-    categorical = [c for c in COPULA_COLUMNS if c in ("SEX", "RAC1P", "SCHL", "DIS")]
+    categorical = [c for c in COPULA_COLUMNS if c in ("SEX", "RAC1P", "SCHL", "DIS", "OCCP", "INDP")]
     joins = " ".join(
         f"JOIN intervals i{c} ON i{c}.ST = t.ST AND i{c}.feature = '{c}' AND i{c}.value = t.{c}" for c in categorical
     )
@@ -211,7 +211,7 @@ def _labelled_values() -> str:
 
 # profile
 
-NUMERIC = ["PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"]
+NUMERIC = ["SPORDER", "ADJINC", "PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"]
 
 
 def _describe() -> str:
@@ -236,12 +236,14 @@ def _correlation_matrix() -> str:
     ))
 
 
+TEXT = ["SERIALNO", "PUMA", "ST", "SEX", "RAC1P", "SCHL", "INDP", "OCCP", "WKHP", "DIS"]
+
+
 def _unique_counts() -> str:
-    text = ["SERIALNO", "PUMA", "ST", "SEX", "RAC1P", "SCHL", "INDP", "OCCP", "WKHP", "DIS"]
     return _with(" UNION ALL ".join(
         f"SELECT {_text(census.COLUMN_LABELS.get(c, c))} AS feature, "
         f"count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END AS n_unique FROM sp"
-        for c in text
+        for c in TEXT
     ))
 
 
@@ -249,7 +251,7 @@ def _value_frequencies() -> str:
     return _with(
         "SELECT feature, value, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM sp) AS proportion "
         "FROM long GROUP BY feature, value",
-        long=_long("sp", ["ST", "SEX", "RAC1P", "SCHL", "INDP", "OCCP", "DIS"], label=True),
+        long=_long("sp", TEXT, label=True),
     )
 
 

@@ -18,7 +18,7 @@ RECODES = {
     "SEX": {"1": "male", "2": "female"},
     "RAC1P": {"1": "white", "2": "black", "6": "asian"},
 }
-COPULA_COLUMNS = ["AGEP", "SEX", "RAC1P", "SCHL", "DIS", "WKHP", "WAGP", "PINCP"]
+COPULA_COLUMNS = list(SPEC.sequence)
 STATE_LABELS = {fips: usps for usps, fips in census.STATES.items()}
 DESIGN_LABELS = {**LABELS, "ST": STATE_LABELS}
 WANTED = ["CA", "NY", "TX"]
@@ -360,7 +360,8 @@ def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
 
 def _numbers(spark: SparkSession, sf: str) -> DataFrame:
     """The numeric columns with their nulls as a table on disk, which is what gets profiled."""
-    return written(_cast(spark, sf).select("PWGTP", "AGEP", "WKHP", "PINCP", "WAGP"), "numbers")
+    table = _cast(spark, sf)
+    return written(table.select(*features.split_by_type(table)[0]), "numbers")
 
 
 def describe(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,8 +377,7 @@ def unique_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["ST", "SEX", "RAC1P", "SCHL", "INDP", "OCCP", "DIS"]
-    return profile.value_frequencies(survey(spark, sf), columns, census.COLUMN_LABELS)
+    return profile.value_frequencies(survey(spark, sf), labels=census.COLUMN_LABELS)
 
 
 # metrics
@@ -389,7 +389,7 @@ def class_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def threshold_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.threshold_labels(_scored(spark, sf), "label", SCORES, 0.45, keep=("ST",))
+    return metrics.threshold_labels(_scored(spark, sf), "label", SCORES, 0.45, keep=("ST",), prefix="predicted_disability_")
 
 
 def binary_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,7 +421,7 @@ def _fit_score(kind: str, settings: dict | None = None):
         problem = models.Problem.split(matrix, census.TARGET, census.COMPLEMENT, census.WEIGHT)
         fitted = models.fit_variants(problem, kind, settings)
         scored = models.score_variants(problem, fitted)
-        return metrics.threshold_labels(scored, "label", {v: f"p_{v}" for v in fitted})
+        return metrics.threshold_labels(scored, "label", {v: f"p_{v}" for v in fitted}, prefix="predicted_disability_")
 
     return run
 
@@ -479,6 +479,6 @@ QUERIES = {
     "weighted_bce": weighted_bce,
     "variant_report": variant_report,
     "lr_fit_score": _fit_score("logistic_regression"),
-    "gbt_fit_score": _fit_score("xgb", {"maxIter": 20}),
+    "gbt_fit_score": _fit_score("boosted_trees"),
     "mlp_fit_score": _fit_score("neural_network"),
 }

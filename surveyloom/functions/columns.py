@@ -39,11 +39,12 @@ def or_missing(col: Column) -> Column:
 
 
 def min_max_scaled(col: Column, low, high, constant: str = "null") -> Column:
-    """(x − low) / (high − low) as float; a constant column gives null, or NaN with ``constant="nan"``."""
+    """(x − low) / (high − low) as float; a constant or empty column gives null, with ``constant`` "nan" NaN, with "zero" 0."""
+    value = {"null": None, "nan": float("nan"), "zero": 0.0}[constant]
     if low is None or high is None:
-        return F.lit(None).cast("float")
+        return F.lit(0.0 if constant == "zero" else None).cast("float")
     if high == low:
-        return F.when(col.isNotNull(), F.lit(float("nan") if constant == "nan" else None).cast("float"))
+        return F.when(col.isNotNull(), F.lit(value).cast("float"))
     return ((col - F.lit(low)) / (F.lit(high) - F.lit(low))).cast("float")
 
 

@@ -27,10 +27,8 @@ from surveyloom.operators.features import split_by_type
 from surveyloom.session import written
 
 BLOCK_ROWS = 8192  # rows made from one random stream; part of what a seed means
-BLOCKS_PER_TASK = 64
-MAX_TASKS = 100_000  # beyond it tasks take more blocks each
+BLOCKS_PER_CHUNK = 64  # blocks of one group that a task makes in a row
 MAX_DIGITS = 9
-MAX_CATEGORIES = 100_000  # per group and column
 GROUPS_IN_MEMORY = 256  # Gram matrices held by a task before they are sent on
 
 
@@ -149,9 +147,10 @@ def normal_scores(
         if c in numeric:
             j = numeric.index(c)
             sd = F.col(f"_sd{j}")
-            z = F.when(sd > 0, (quoted(c).cast("double") - F.col(f"_mean{j}")) / sd).otherwise(F.lit(0.0))
+            z = F.when(sd > 0, (quoted(c).cast("double") - F.col(f"_mean{j}")) / sd)
+            z = F.coalesce(z, F.lit(0.0))
         else:
-            z = F.col(f"_z{i}")
+            z = F.coalesce(F.col(f"_z{i}"), F.lit(0.0))
         scores.append(z.alias(f"z{i}"))
     return out.select(group, *scores)
 
@@ -169,8 +168,6 @@ def _gram_partials(group: str, width: int, key_type: pa.DataType):
         held: dict = {}
         for batch in batches:
             z = np.column_stack([batch.column(f"z{i}").to_numpy(zero_copy_only=False) for i in range(width)])
-            if np.isnan(z).any():
-                raise ValueError("the training table holds nulls")
             keys = batch.column(group).dictionary_encode()
             codes = keys.indices.to_numpy(zero_copy_only=False)
             for k, name in enumerate(keys.dictionary.to_pylist()):
@@ -204,28 +201,23 @@ def score_correlations(scores: DataFrame, group: str, columns: Sequence[str]) ->
 
 
 def fit_copula(df: DataFrame, group: str, columns: Sequence[str], long: Sequence[str] = ()) -> CopulaModel:
-    """Fit one copula per group. ``df`` holds no nulls; text columns are categorical, all others numeric."""
+    """Fit one copula per group; text columns are categorical, all others numeric.
+
+    A null has the score 0, the middle of its column, so it weakens the column's correlations and changes nothing else. Nulls of a text column
+    are a category of their own; a numeric column without values in a group is drawn as null there.
+    """
     columns = list(columns)
     types = split_by_type(df)[0]
     numeric = [c for c in columns if c in types]
     categorical = [c for c in columns if c not in types]
     long = [c for c in numeric if c in long or not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
     intervals = written(category_intervals(df, group, categorical), "copula-intervals", "feature")
-    _check_categories(intervals, group)
     marginals = written(column_marginals(df, group, numeric), "copula-marginals")
     scores = normal_scores(df, group, columns, intervals, marginals)
     correlations = written(score_correlations(scores, group, columns), "copula-correlations")
     return CopulaModel(group, columns, numeric, long, intervals, marginals, correlations)
 
 
-def _check_categories(intervals: DataFrame, group: str) -> None:
-    """The sampler holds the categories of a group in memory, so a column that is no category is an error."""
-    sizes = intervals.groupBy(group, "feature").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max(F.struct("n", "feature")).alias("m")).first()["m"]
-    if largest is not None and largest["n"] > MAX_CATEGORIES:
-        raise ValueError(f"{largest['feature']} has {largest['n']} values in one group; it is no category, leave it out")
-
-
 def correlation_factors(model: CopulaModel) -> DataFrame:
     """``(group, factor)``: lower Cholesky factor of the nearest correlation matrix, row by row.
 
@@ -276,9 +268,8 @@ def sampler_parameters(model: CopulaModel) -> DataFrame:
 
 
 def _stream(seed: int, group: object, block: int) -> np.random.Generator:
-    """Random stream of one block: a function of seed, group and block only."""
-    digest = hashlib.sha256(f"{seed}|{group}".encode()).digest()
-    key = np.frombuffer(digest[:16], dtype="<u8")
+    """Random stream of one block: a function of seed, group and block only; keyed by ``functions.columns.group_seed``."""
+    key = int(hashlib.sha256(f"{seed}|{group}".encode()).hexdigest()[:15], 16)
     return np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, block], dtype=np.uint64)))
 
 
@@ -289,6 +280,9 @@ def draw_block(columns, numeric, long, parameters: dict, group: object, block: i
     for i, c in enumerate(columns):
         if c in numeric:
             mean, sd, low, high, digits = parameters["marginals"][c]
+            if mean is None:
+                out.append(pa.nulls(rows, pa.int64() if c in long else pa.float64()))
+                continue
             x = np.clip(mean + sd * z[:, i], low, high)
             x = np.round(x, int(digits)) if digits <= MAX_DIGITS else x
             out.append(pa.array(x.astype(np.int64) if c in long else x))
@@ -309,37 +303,30 @@ def _parameters(row: dict, width: int) -> dict:
     }
 
 
-def sample_blocks(sizes: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Cut the rows wanted per group into blocks ``(group, block, rows)``.
+def sample_chunks(sizes: DataFrame, group: str) -> DataFrame:
+    """Cut the rows wanted per group into chunks of blocks: ``(group, first, blocks, n)`` and the other columns.
 
     Two explodes, so that even a very large group never becomes one long array.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("bigint")
-    step = 10_000
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1, F.lit(step).cast("bigint")))
-    inner = F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + step, F.col("_blocks")) - 1))
-    return (
-        sizes.where(F.col("n") > 0)
-        .withColumn("_blocks", blocks)
-        .withColumn("_start", starts)
-        .withColumn("block", inner)
-        .withColumn("rows", F.least(F.lit(block_rows).cast("bigint"), F.col("n") - F.col("block") * block_rows))
-        .drop("_blocks", "_start", "n")
-    )
+    long, per, step = (lambda n: F.lit(n).cast("bigint")), BLOCKS_PER_CHUNK, BLOCKS_PER_CHUNK * 10_000
+    total = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("bigint")
+    starts = F.explode(F.sequence(long(0), F.col("_blocks") - 1, long(step)))
+    inner = F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + step, F.col("_blocks")) - 1, long(per)))
+    cut = sizes.where(F.col("n") > 0).withColumn("_blocks", total).withColumn("_start", starts).withColumn("first", inner)
+    return cut.withColumn("blocks", F.least(long(per), F.col("_blocks") - F.col("first"))).drop("_blocks", "_start")
 
 
 def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequence[str] = ()) -> DataFrame:
     """Draw ``sizes.n`` rows per group; ``carry`` are columns of ``sizes`` repeated on each row of the group.
 
-    A group is made block by block in as many tasks as it needs, and the rows depend only on seed, group and block.
+    A chunk of blocks carries its group's parameters, and chunks are dealt out after the join, so a hot group is made by as many
+    tasks whether or not the join was a broadcast. The rows depend only on seed, group and block.
     """
     group, columns, numeric, long = model.group, model.columns, model.numeric, model.long
-    wanted = sizes.select(group, "n", *carry)
-    total = wanted.agg(F.sum(F.ceil(F.col("n") / F.lit(BLOCK_ROWS)))).first()[0] or 1
-    spread = max(-(-int(total) // BLOCKS_PER_TASK), sizes.sparkSession.sparkContext.defaultParallelism)
-    tasks = min(spread, int(total), MAX_TASKS)
-    blocks = sample_blocks(wanted, group).repartition(tasks, group, "block")
-    jobs = blocks.join(written(sampler_parameters(model), "copula-parameters"), group)
+    wanted = written(sample_chunks(sizes.select(group, "n", *carry), group), "copula-chunks")
+    tasks = max(wanted.count(), 1)
+    tasks = min(tasks, max(sizes.sparkSession.sparkContext.defaultParallelism * 4, tasks // 16))
+    jobs = wanted.join(written(sampler_parameters(model), "copula-parameters"), group).repartition(tasks, group, "first")
     kinds = {c: "bigint" if c in long else "double" if c in numeric else "string" for c in columns}
     carried = {c: sizes.schema[c].dataType.simpleString() for c in (group, *carry)}
     schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **carried}.items())
@@ -350,15 +337,16 @@ def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            keys = batch.select([group, "block", "rows", *carry]).to_pylist()
+            keys = batch.select([group, "first", "blocks", "n", *carry]).to_pylist()
             for at, row in enumerate(keys):
                 if row[group] not in held:
                     held = held if len(held) < GROUPS_IN_MEMORY else {}
                     wide = batch.slice(at, 1).select(["factor", "marginals", "categories"]).to_pylist()[0]
                     held[row[group]] = _parameters(wide, len(columns))
-                n = row["rows"]
-                drawn = draw_block(columns, numbers, whole, held[row[group]], row[group], row["block"], n, seed)
-                drawn += [pa.repeat(pa.scalar(row[c], arrow_types[c]), n) for c in carried]
-                yield pa.RecordBatch.from_arrays(drawn, names)
+                for block in range(row["first"], row["first"] + row["blocks"]):
+                    n = min(BLOCK_ROWS, row["n"] - block * BLOCK_ROWS)
+                    drawn = draw_block(columns, numbers, whole, held[row[group]], row[group], block, n, seed)
+                    drawn += [pa.repeat(pa.scalar(row[c], arrow_types[c]), n) for c in carried]
+                    yield pa.RecordBatch.from_arrays(drawn, names)
 
     return jobs.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from surveyloom.session import literal_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 ACCURACY = 10_000  # of percentile_approx: rank error at most 1 / ACCURACY of the rows
-BRACKET_ROWS = 200_000  # a bracket with at most this many rows is ranked as it is
+BRACKET_ROWS = 200_000  # a bracket of at most this many rows is not narrowed again
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -165,13 +165,13 @@ def _around(q: float) -> list[float]:
 def _narrowed(
     values: DataFrame, brackets: dict[tuple[str, str], _Bracket]
 ) -> dict[tuple[str, str], _Bracket]:
-    """Replace wide brackets by their guess where a count proves it, and guess again inside while it helps.
+    """Replace every bracket by its guess where a count proves it, and guess again inside wide ones while it helps.
 
     A bracket whose guess fails is kept as it is, so the result is exact in any case. Only a handful of numbers per
     column reaches the driver.
     """
     brackets = dict(brackets)
-    open_ = {k: b for k, b in brackets.items() if b.is_wide}
+    open_ = {k: b for k, b in brackets.items() if b.low < b.high}
     while open_:
         by_column: dict[str, list] = {}
         for k, b in open_.items():

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyloom import census
+from surveyloom.functions import columns as columns_of
 from surveyloom.operators import copula, features, groups
 from surveyloom.sources import readers, runs, writers
 from surveyloom.spec import JobConfig, TableSpec
@@ -65,7 +67,11 @@ def synthesise(
     totals = groups.with_group_value(present, population, spec.group, census.POPULATION)
     sizes = groups.sample_size(totals, census.POPULATION, config.rows_per_group, config.divisor)
     drawn = copula.sample_copula(model, sizes, config.seed, carry=[census.POPULATION])
-    synthetic = writers.write_parquet(drawn, layout.synthetic)
+    synthetic = writers.write_parquet(features.fill_from_groups(drawn, training, spec.group), layout.synthetic)
+    lineage = groups.rows_per_group(training, spec.group).withColumnRenamed("n_rows", "training_rows")
+    lineage = lineage.join(groups.rows_per_group(synthetic, spec.group).withColumnRenamed("n_rows", "synthetic_rows"), spec.group, "left")
+    seed = columns_of.group_seed(config.seed, F.col(spec.group))
+    writers.write_parquet(lineage.withColumn("seed", seed), layout.group_lineage)
     params = {"seed": config.seed, "rows_per_group": config.rows_per_group, "divisor": config.divisor}
     runs.record_step(layout, "synthetic", synthetic, layout.synthetic, params)
     return training, model, synthetic

@@ -52,6 +52,11 @@ class RunLayout:
     def synthetic(self) -> str:
         return f"{self.run}/synth/full"
 
+    @property
+    def group_lineage(self) -> str:
+        """Per group: training rows, synthetic rows, and the seed that keys its random streams."""
+        return f"{self.run}/synth/groups"
+
     @property
     def cache(self) -> str:
         return f"{self.root}/_extract_cache"

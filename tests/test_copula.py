@@ -73,7 +73,7 @@ def test_sample_does_not_depend_on_partitioning(spark, model, monkeypatch):
         return sorted(tuple(r) for r in copula.sample_copula(model, _sizes(spark, _06=30_000, _11=100), 7).collect())
 
     one = draw()
-    monkeypatch.setattr(copula, "MAX_TASKS", 1)
+    monkeypatch.setattr(copula, "BLOCKS_PER_CHUNK", 1)
     assert draw() == one
 
 
@@ -113,10 +113,12 @@ def test_constant_column_and_single_category(spark):
     assert set(drawn["k"]) == {5} and set(drawn["c"]) == {"x"} and drawn["v"].between(1.0, 3.5).all()
 
 
-def test_identifier_column_is_an_error(training, monkeypatch):
-    monkeypatch.setattr(copula, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="sex has 3 values"):
-        copula.fit_copula(training, "ST", COLUMNS)
+def test_a_column_of_many_values_is_a_category_too(spark):
+    df = spark.range(30_000).selectExpr("'a' AS g", "concat('v', id) AS c", "CAST(id AS DOUBLE) AS v")
+    model = copula.fit_copula(df, "g", ["c", "v"])
+    drawn = copula.sample_copula(model, spark.createDataFrame([("a", 2000)], "g string, n bigint"), 1)
+    assert drawn.select("c").distinct().count() > 1500
+    assert drawn.join(df, "c", "left_anti").count() == 0
 
 
 def test_model_round_trip(spark, model, tmp_path):
@@ -127,10 +129,26 @@ def test_model_round_trip(spark, model, tmp_path):
     assert copula.sample_copula(again, sizes, 3).collect() == copula.sample_copula(model, sizes, 3).collect()
 
 
-def test_large_groups_are_cut_in_blocks(spark):
-    sizes = spark.createDataFrame([("a", 25_000), ("b", 1)], "g string, n bigint")
-    got = copula.sample_blocks(sizes, "g", 1).groupBy("g").agg(F.count("*").alias("blocks"), F.sum("rows").alias("rows"))
-    assert {tuple(r) for r in got.collect()} == {("a", 25_000, 25_000), ("b", 1, 1)}
+def test_large_groups_are_cut_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(copula, "BLOCK_ROWS", 1)
+    sizes = spark.createDataFrame([("a", 2_000_001), ("b", 1), ("c", 0)], "g string, n bigint")
+    got = copula.sample_chunks(sizes, "g").groupBy("g").agg(F.count("*"), F.sum("blocks"), F.max("first"))
+    assert {tuple(r) for r in got.collect()} == {("a", 31_251, 2_000_001, 2_000_000), ("b", 1, 1, 0)}
+
+
+def test_hot_group_is_made_by_many_tasks_without_a_broadcast(spark, model, monkeypatch):
+    monkeypatch.setattr(copula, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(copula, "BLOCKS_PER_CHUNK", 2)
+    sizes = _sizes(spark, _11=3200)
+    with_broadcast = sorted(map(tuple, copula.sample_copula(model, sizes, 3).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = copula.sample_copula(model, sizes, 3)
+        assert drawn.select(F.spark_partition_id()).distinct().count() > 10
+        assert sorted(map(tuple, drawn.collect())) == with_broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_lookup_tables_are_broadcast_and_rows_not_shuffled(training, model):
@@ -140,7 +158,19 @@ def test_lookup_tables_are_broadcast_and_rows_not_shuffled(training, model):
     assert plan.count("BroadcastHashJoin") == 2
 
 
-def test_training_with_nulls_is_an_error(spark):
-    df = spark.createDataFrame([("a", 1.0, "x"), ("a", None, "y"), ("a", 3.0, "x")], "g string, v double, c string")
-    with pytest.raises(Exception, match="holds nulls"):
-        copula.fit_copula(df, "g", ["v", "c"])
+def test_nulls_and_empty_columns_do_not_stop_the_fit(spark):
+    rows = [("a", 1.0, "x", None), ("a", None, None, None), ("a", 3.0, "x", None), ("b", 2.0, "y", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double, c string, e double")
+    model = copula.fit_copula(df, "g", ["v", "c", "e"])
+    drawn = copula.sample_copula(model, spark.createDataFrame([("a", 50), ("b", 5)], "g string, n bigint"), 1).toPandas()
+    a = drawn[drawn["g"] == "a"]
+    assert a["v"].between(1.0, 3.0).all() and a["e"].isna().all() and set(a["c"]) <= {"x", None}
+    assert set(drawn[drawn["g"] == "b"]["e"]) == {7.0}
+
+
+def test_group_seed_keys_the_streams(spark):
+    from surveyloom.functions.columns import group_seed
+
+    seed = spark.createDataFrame([("11",)], "g string").select(group_seed(42, F.col("g"))).first()[0]
+    own = np.random.Generator(np.random.Philox(key=seed, counter=np.array([0, 0, 0, 5], dtype=np.uint64)))
+    assert (copula._stream(42, "11", 5).random(4) == own.random(4)).all()

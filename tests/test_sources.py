@@ -119,8 +119,8 @@ def test_extract_is_built_once(spark, tmp_path):
 def test_latest_model(spark, tmp_path):
     layout = runs.RunLayout(str(tmp_path), "r1")
     with pytest.raises(LookupError):
-        runs.latest_model(spark, layout, "standard", "xgb")
+        runs.latest_model(spark, layout, "standard", "boosted_trees")
     for uri in ("m1", "m2"):
-        runs.register_model(spark, layout, "standard", "xgb", uri)
+        runs.register_model(spark, layout, "standard", "boosted_trees", uri)
     runs.register_model(spark, layout, "standard", "logistic_regression", "m3")
-    assert runs.latest_model(spark, layout, "standard", "xgb") == "m2"
+    assert runs.latest_model(spark, layout, "standard", "boosted_trees") == "m2"
