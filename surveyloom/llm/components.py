@@ -33,17 +33,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("u", "m")).toDF("u", "v").distinct()
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rounds: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``links (u, v)``: the smallest node that it reaches.
 
     Alternating large and small stars (Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014). Links of
     a hub are summed to one minimum before the shuffle, and the join back is an inner join whose hot side AQE splits. Each
-    round is a written table. Self-links and nulls are ignored.
+    round is a written table. Self-links and nulls are ignored. With ``rounds`` it stops after so many, settled or not: then a node may
+    be given any smaller node that it reaches.
     """
     edges = links.where(F.col("u") != F.col("v"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = _written(edges, scratch)
-    for _ in range(MAX_ROUNDS):
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         if not before[0]:
             break
         edges, now = _written(_small_star(_large_star(edges)), scratch)
@@ -51,5 +52,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        if rounds is None:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return found if rounds is None else found.groupBy("node").agg(F.min("component").alias("component"))

@@ -8,7 +8,7 @@ documents with probability equal to their similarity.
 Documents with equal sets are one class and only its smallest id goes on. In each bucket the member that shares most
 buckets with others is the centre, and the others are compared with it only: a bucket of m members gives m - 1 candidates.
 Candidates are confirmed on full shingle sets. Buckets whose members are still in several components go to further rounds
-with eight times as many centres, until each of their members has been compared with every member of other components, so
+with more centres, until each of their members has been compared with every member of other components, so
 a star loses no link that the buckets hold. Before a text is read, a sketch of four bits per bin (Li, König, "b-Bit
 Minwise Hashing", WWW 2010) rules out pairs whose similarity is far below the threshold.
 """
@@ -40,7 +40,7 @@ class Settings:
     percent: int = 75
     bands: int = 48
     rows: int = 5
-    growth: int = 8
+    growth: int = 64
     deviations: float = 4.8
 
     @property
@@ -250,16 +250,17 @@ def _all_components(docs: DataFrame, full: DataFrame, classes: DataFrame, links:
         good = checked.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         links = links.union(good)
-        result = components(links, scratch)
         if slots is None:
-            return result
+            return components(links, scratch)
+        # Between rounds an unsettled component only means that more pairs are compared.
+        result = components(links, scratch, rounds=1)
         now = labelled.drop("component").join(result.withColumnRenamed("component", "found"), "node", "left")
         now = now.withColumn("component", F.coalesce("found", "node")).drop("found")
         ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
         unsettled = now.groupBy("bucket").agg(*ends).where("low != high and size > 2")
         largest = unsettled.agg(F.max("size")).first()[0]
         if largest is None:
-            return result
+            return components(links, scratch)
         labelled = scratch.write(now.join(unsettled.select("bucket"), "bucket"), "members")
         slots = slots * settings.growth if slots * settings.growth < largest else None
 

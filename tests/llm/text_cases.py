@@ -10,7 +10,7 @@ def sentence(seed: int, n: int) -> str:
 
 def edge_rows() -> list[tuple]:
     base = sentence(1, 120)
-    near = base.replace(base.split()[60], "changed")
+    near = " ".join("changed" if i == 60 else w for i, w in enumerate(base.split()))
     line = "This very line of text is long enough to be looked at."
     return [
         (0, base, "en", "a"), (1, base.upper(), "en", "a"), (2, near, None, None), (3, None, "en", "a"), (4, "", None, "b"), (5, " \t\n ", "de", "b"),
