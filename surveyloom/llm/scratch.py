@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from surveyloom.session import scratch_path
 
 PACKAGE = "surveyloom"
+BATCH_BYTES = 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, unless this application already has it."""
+    """Send the package to the Python workers, unless this application already has it.
+
+    Texts go to the workers in Arrow batches of ``BATCH_BYTES``: several copies of a batch exist at once, beside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if not any(os.path.basename(f).startswith(PACKAGE) for f in sc._python_includes):
         base = os.path.join(tempfile.mkdtemp(prefix=f"{PACKAGE}-package-"), PACKAGE)
