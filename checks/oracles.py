@@ -218,14 +218,14 @@ def _describe() -> str:
     parts = []
     for c in NUMERIC:
         quantiles = ", ".join(
-            f"(SELECT {fixed('v')} FROM (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, "
+            f"(SELECT {fixed('v', 4)} FROM (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS i, "
             f"count(*) OVER () AS n FROM casted WHERE {c} IS NOT NULL) WHERE i = CAST(round((n - 1) * {q}) AS BIGINT)) AS {name}"
             for name, q in (("q25", "0.25e0"), ("q50", "0.5e0"), ("q75", "0.75e0"))
         )
         parts.append(
             f"SELECT '{c}' AS feature, count({c}) AS count, count(*) - count({c}) AS null_count, "
-            f"{fixed(f'avg({c})')} AS mean, {fixed(f'stddev_samp({c})')} AS std, "
-            f"{fixed(f'CAST(min({c}) AS DOUBLE)')} AS min, {quantiles}, {fixed(f'CAST(max({c}) AS DOUBLE)')} AS max FROM casted"
+            f"{fixed(f'avg({c})', 4)} AS mean, {fixed(f'stddev_samp({c})', 4)} AS std, "
+            f"{fixed(f'CAST(min({c}) AS DOUBLE)', 4)} AS min, {quantiles}, {fixed(f'CAST(max({c}) AS DOUBLE)', 4)} AS max FROM casted"
         )
     return _with(" UNION ALL ".join(parts))
 

@@ -365,7 +365,7 @@ def _numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def describe(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(profile.describe(_numbers(spark, sf)))
+    return _rounded(profile.describe(_numbers(spark, sf)), 4)
 
 
 def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
