@@ -521,6 +521,22 @@ def test_passages_star_and_edges(spark, edges, nothing, rows):
     assert rows(passages.repeated_passages(nothing)) == []
 
 
+def test_passages_of_families_with_variants_below_the_threshold(spark):
+    """Two exact copies in the largest ids of each family; the smaller ids hold variants that no passage confirms."""
+    draw, table, copies = np.random.default_rng(6), [], set()
+    for family in range(40):
+        passage, at = sentence(1000 + family, 60).split(), 100 * family
+        for i in range(26):
+            words = list(passage)
+            if i < 24:
+                for k in range(int(draw.integers(0, 14)), 60, 14):
+                    words[k] = f"new{family}x{i}x{k}"
+            table.append((at + i, f"{sentence(10_000 + at + i, 60)} {' '.join(words)} {sentence(50_000 + at + i, 60)}"))
+        copies.add((at + 25, at + 24))
+    got = passages.repeated_passages(spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)).collect()
+    assert copies == {(r["doc_id"], r["ref_id"]) for r in got}
+
+
 # pipeline
 
 
