@@ -1,9 +1,10 @@
 """Benchmark passages in documents, also with other numbers, names and units; DataFrame functions only.
 
 Texts become tokens; numbers, names and units become typed placeholders. Windows of canonical tokens are hashed and joined with
-those of the benchmark. A window match names an alignment (document, item, shift between positions); the alignment counts
-if its slots are consistent: each benchmark value stands for one value of the document wherever it occurs. The original has the
-same values, a re-parameterised question others.
+those of the benchmark. Windows come in three forms: a capital at the begin of a sentence is no name, is a name, or nothing is a
+placeholder. A window match names an alignment (document, item, shift between positions, or a band of shifts). Its slots must be
+consistent: each benchmark value stands for one value of the document; windows where it does not are not counted unless they hold
+the benchmark's own values. The original has the same values, a re-parameterised question others.
 
 Only windows whose hash passes a bitmap of the benchmark's hashes leave the scan. The bitmap has a size that is fixed by the
 number of benchmark windows, within the stated limits, so what reaches every task is bounded; a larger benchmark makes it less selective,
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.llm.scratch import Scratch, documents
@@ -50,65 +51,90 @@ def tokens_of(text: Column) -> Column:
 
 
 def canonical(tokens: Column) -> Column:
-    """Canonical form of each token: a placeholder with a leading ``#``, or the token in lower case.
+    """Structs ``raw, a, b, c`` for the tokens: canonical forms are a placeholder with a leading ``#``, or the token in lower case.
 
-    A name is a token with a capital that does not open a text, line or sentence. A unit is a unit word after a number.
+    A unit is a unit word after a number. In form ``a`` a name is a token with a capital that does not open a text, line or
+    sentence, in form ``b`` an opener with a capital is one too. Form ``c`` has no placeholders.
     """
     before = F.concat(F.array(F.lit("\n")), tokens)
 
     def form(pair: Column) -> Column:
         token, last = pair["token"], pair["last"]
         first, low = F.substring(token, 1, 1), F.lower(token)
-        return (
-            F.when(token.isin(ENDS), F.lit(END))
-            .when(first.rlike(r"\p{N}"), F.lit(NUMBER))
-            .when(F.substring(last, 1, 1).rlike(r"\p{N}") & low.isin(UNITS), F.lit(UNIT))
-            .when((first != F.lower(first)) & ~last.isin(ENDS), F.lit(NAME))
-            .otherwise(low)
+        end, capital = token.isin(ENDS), first != F.lower(first)
+        fixed = F.when(end, F.lit(END)).when(first.rlike(r"\p{N}"), F.lit(NUMBER))
+        fixed = fixed.when(F.substring(last, 1, 1).rlike(r"\p{N}") & low.isin(UNITS), F.lit(UNIT))
+        return F.struct(
+            token.alias("raw"),
+            fixed.when(capital & ~last.isin(ENDS), F.lit(NAME)).otherwise(low).alias("a"),
+            fixed.when(capital, F.lit(NAME)).otherwise(low).alias("b"),
+            F.when(end, F.lit(END)).otherwise(low).alias("c"),
         )
 
-    return F.transform(F.arrays_zip(tokens.alias("token"), before.alias("last")), form)
+    pairs = F.arrays_zip(tokens.alias("token"), before.alias("last"))
+    return F.transform(F.filter(pairs, lambda p: p["token"].isNotNull()), form)
+
+
+FORMS = ("a", "b", "c")
 
 
 def _prepared(df: DataFrame, key: str) -> DataFrame:
-    """``key, raw, kind, hashes``: tokens without sentence ends, their canonical forms and the hashes of these.
+    """``key`` and for each form an array of structs ``at, raw, kind, hash``: tokens without sentence ends; a run of names is one token.
 
-    Each array is used more than once by the next step, so the optimiser keeps the steps apart. No filter stands above them: it
-    would be pushed through with the whole computation copied into it.
+    ``at`` counts the tokens before runs are joined. Each array is used more than once by the next step, so the optimiser keeps
+    the steps apart. No filter stands above them: it would be pushed through with the whole computation copied into it.
     """
     df = df.select(key, tokens_of(F.col("text")).alias("tokens"))
-    df = df.select(key, "tokens", canonical(F.col("tokens")).alias("forms"))
-    pairs = F.filter(F.arrays_zip("tokens", "forms"), lambda p: p["forms"].isNotNull() & (p["forms"] != END))
-    df = df.select(key, pairs.alias("pairs"))
-    return df.select(
-        key, F.col("pairs.tokens").alias("raw"), F.col("pairs.forms").alias("kind"),
-        F.transform("pairs", lambda p: F.xxhash64(p["forms"])).alias("hashes"),
-    )
+    df = df.select(key, canonical(F.col("tokens")).alias("t"))
+    before = F.concat(F.array(F.lit(END)), F.col("t.a")), F.concat(F.array(F.lit(END)), F.col("t.b"))
+    df = df.select(key, F.arrays_zip("t", before[0].alias("la"), before[1].alias("lb")).alias("z"))
+    df = df.select(key, F.filter("z", lambda z: z["t"].isNotNull() & (z["t"]["c"] != END)).alias("z"))
+
+    def one(form: str) -> Column:
+        last = f"l{form}"
+        every = F.transform("z", lambda z, i: F.struct(
+            i.alias("at"), z["t"]["raw"].alias("raw"), z["t"][form].alias("kind"), F.xxhash64(z["t"][form]).alias("hash"),
+            (F.lit(False) if form == "c" else (z["t"][form] == NAME) & (z[last] == NAME)).alias("more"),
+        ))
+        return F.filter(every, lambda x: ~x["more"]).alias(form)
+
+    return df.select(key, *[one(form) for form in FORMS])
 
 
-def _window_hashes(size: int) -> Column:
-    """Hash of the window at each position; a text with fewer tokens than a window has one window, all of it."""
-    last = F.greatest(F.size("hashes") - size, F.lit(0))
-    places = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), last))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(size)]))
+def _window_hashes(form: str, size: int) -> Column:
+    """``form, k, at, hash`` of the window at each position; a text with fewer tokens than a window has one window, all of it."""
+    last = F.greatest(F.size(form) - size, F.lit(0))
+    places = F.when(F.size(form) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.struct(
+        F.lit(form).alias("form"), k.alias("k"), F.get(F.col(form), k)["at"].alias("at"),
+        F.xxhash64(*[F.get(F.col(form), k + n)["hash"] for n in range(size)]).alias("hash"),
+    ))
 
 
-def _slots(at: str, size: int) -> Column:
-    """Values at the placeholders of a window, in order."""
-    values = F.arrays_zip(F.slice("raw", F.col(at) + 1, size).alias("raw"), F.slice("kind", F.col(at) + 1, size).alias("kind"))
-    return F.transform(F.filter(values, lambda v: v["kind"].startswith("#")), lambda v: F.lower(v["raw"]))
+def _window(size: int) -> Column:
+    """Tokens of the window of the row's form."""
+    parts = [F.slice(F.col(form), F.col("k") + 1, size) for form in FORMS]
+    return F.when(F.col("form") == "a", parts[0]).when(F.col("form") == "b", parts[1]).otherwise(parts[2])
+
+
+def _slots(window: Column) -> Column:
+    """Values at the placeholders of a window, in order; a run of names has its first."""
+    return F.transform(F.filter(window, lambda v: v["kind"].startswith("#")), lambda v: F.lower(v["raw"]))
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """``item_id, at, hash, slots`` of the windows with enough literal tokens; an item without such a window has none."""
+    """``item_id, at, hash, slots, main`` of the windows with enough literal tokens; an item without such a window has none.
+
+    ``main``: a window with placeholders begins here.
+    """
     ready = _prepared(benchmark, "item_id")
-    rows = ready.select("item_id", "raw", "kind", F.posexplode_outer(_window_hashes(settings.window)).alias("at", "hash"))
-    rows = rows.where(F.col("hash").isNotNull())
-    kinds = F.slice("kind", F.col("at") + 1, settings.window)
-    literal = F.size(F.filter(kinds, lambda k: ~k.startswith("#")))
-    return rows.where(literal >= F.least(F.lit(settings.literals), F.size(kinds))).select(
-        "item_id", "at", "hash", _slots("at", settings.window).alias("slots")
-    )
+    every = F.concat(*[_window_hashes(form, settings.window) for form in FORMS])
+    rows = ready.select("item_id", *FORMS, F.inline_outer(every)).where(F.col("hash").isNotNull())
+    rows = rows.select("item_id", "form", "at", "hash", _window(settings.window).alias("w"))
+    literal = F.size(F.filter("w", lambda v: ~v["kind"].startswith("#")))
+    rows = rows.where(literal >= F.least(F.lit(settings.literals), F.size("w")))
+    main = F.max(F.col("form") != "c").over(Window.partitionBy("item_id", "at"))
+    return rows.select("item_id", "at", "hash", _slots(F.col("w")).alias("slots"), main.alias("main")).distinct()
 
 
 def hash_bitmap(windows: DataFrame, n_windows: int, settings: Settings) -> DataFrame:
@@ -125,22 +151,43 @@ def hash_bitmap(windows: DataFrame, n_windows: int, settings: Settings) -> DataF
     return every.agg(ordered["bits"].alias("bitmap"))
 
 
-def _passing(hashes: Column) -> Column:
-    """Positions and hashes whose bit is set; ``size(bitmap)`` is a power of two."""
+def _passing(windows: Column) -> Column:
+    """Windows whose bit is set; ``size(bitmap)`` is a power of two."""
 
     def test(h: Column) -> Column:
         word = F.get(F.col("bitmap"), F.shiftrightunsigned(h, 6).bitwiseAND(F.size("bitmap") - 1).cast("int"))
         return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    indexed = F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
-    return F.filter(indexed, lambda w: test(w["hash"]))
+    return F.filter(windows, lambda w: test(w["hash"]))
+
+
+def _matched(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Windows of an item that count in each scope of a document: ``doc_id, item_id, kind, place, item_at, main, values``.
+
+    A scope is one shift, or a band of shifts as wide as the item: text may be put in or left out. Two rows of overlapping bands
+    hold any two shifts that are half a band apart. Of several matches of an item's window that of the shift with most windows counts. A
+    benchmark value with several values in the scope costs the windows that hold it changed, no others.
+    """
+    pair = ["doc_id", "item_id"]
+    shifts = pairs.groupBy(*pair, "shift").agg(F.count_distinct("item_at").alias("n_shift"))
+    pairs = pairs.join(shifts, [*pair, "shift"]).join(sizes.select("item_id", F.greatest("n_all", F.lit(16)).alias("wide")), "item_id")
+    bands = [(F.lit(0), F.col("shift")), (F.lit(1), F.floor(F.col("shift") / F.col("wide"))), (F.lit(2), F.floor((F.col("shift") + F.col("wide") / 2) / F.col("wide")))]
+    scopes = F.array(*[F.struct(k.alias("kind"), p.cast("bigint").alias("place")) for k, p in bands])
+    changed = F.size(F.filter("values", lambda v: v["slots"] != v["own"]))
+    best = F.max(F.struct("n_shift", (-changed).alias("same"), F.size("values").alias("n"), (-F.col("shift")).alias("at"), "main", "values")).alias("b")
+    scope = [*pair, "kind", "place"]
+    rows = pairs.select("*", F.inline(scopes)).groupBy(*scope, "item_at").agg(best).select(*scope, "item_at", "b.main", "b.values")
+    slots = rows.select(*scope, F.explode("values").alias("v")).groupBy(*scope, "v.slots").agg(F.count_distinct("v.own").alias("n"))
+    bad = slots.where("n > 1").groupBy(*scope).agg(F.collect_set("slots").alias("bad"))
+    fits = F.forall("values", lambda v: (v["own"] == v["slots"]) | ~F.array_contains("bad", v["slots"]))
+    return rows.join(bad, scope, "left").where(F.col("bad").isNull() | fits).drop("bad")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id",
                  item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item found in it: ``doc_id, item_id, n_matched, n_windows, coverage, n_slots, verbatim``.
 
-    ``n_matched``: windows of the item in its best consistent alignment, of ``n_windows``. ``verbatim``: no slot has another value.
+    ``n_matched``: windows of the item that fit in its best alignment, of ``n_windows``. ``verbatim``: no slot has another value.
     Null and empty texts have no tokens and match nothing; rows with a null id are not reported. Rows that repeat a document's or an item's id
     count as parts of it. Either table may be empty, then so is the result. Extra columns are not read; texts may be of any
     length.
@@ -148,26 +195,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     with Scratch(docs.sparkSession) as scratch:
         items = benchmark.select(F.col(item).cast("bigint").alias("item_id"), F.col(item_text).alias("text"))
         wanted = scratch.write(benchmark_windows(items.where(F.col("item_id").isNotNull()), settings), "benchmark-windows")
-        sizes = scratch.write(wanted.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows")), "benchmark-sizes")
+        count = [F.count_distinct(F.when(F.col("main"), F.col("at"))).alias("n_main"), F.count_distinct("at").alias("n_all")]
+        sizes = scratch.write(wanted.groupBy("item_id").agg(*count), "benchmark-sizes")
         bitmap = scratch.write(hash_bitmap(wanted, wanted.count(), settings), "benchmark-bitmap")
         own = documents(docs, text, key).where(F.col("doc_id").isNotNull())
         ready = _prepared(own, "doc_id").withColumn("bitmap", bitmap.scalar())
-        passing = _passing(_window_hashes(settings.window))
-        hits = ready.select("doc_id", "raw", "kind", F.inline_outer(passing)).where(F.col("hash").isNotNull())
-        hits = hits.select("doc_id", "at", "hash", _slots("at", settings.window).alias("own"))
+        passing = F.concat(*[_passing(_window_hashes(form, settings.window)) for form in FORMS])
+        hits = ready.select("doc_id", *FORMS, F.inline_outer(passing)).where(F.col("hash").isNotNull())
+        hits = hits.select("doc_id", "at", "hash", _slots(_window(settings.window)).alias("own"))
         pairs = hits.join(wanted.withColumnRenamed("at", "item_at"), "hash").where(F.size("own") == F.size("slots"))
-        pairs = pairs.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("slots", "own").alias("values"))
-        pairs = scratch.write(pairs, "window-matches")
-        where = ["doc_id", "item_id", "shift"]
-        counts = pairs.groupBy(*where).agg(F.count_distinct("item_at").alias("n_matched"))
-        values = pairs.select(*where, F.explode("values").alias("v")).select(*where, "v.slots", "v.own").distinct()
-        slots = values.groupBy(*where, "slots").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") != F.col("slots")).alias("other"))
-        slots = slots.groupBy(*where).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("other").alias("other"))
-        found = counts.join(slots, where, "left").where(F.coalesce("most", F.lit(1)) == 1)
-        best = F.max(F.struct("n_matched", (-F.coalesce("other", F.lit(0))).alias("same"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"))).alias("best")
-        found = found.groupBy("doc_id", "item_id").agg(best).join(sizes, "item_id")
-        found = found.withColumn("coverage", F.col("best.n_matched") / F.col("n_windows")).where(F.col("coverage") >= settings.coverage)
+        pairs = pairs.select("doc_id", "item_id", "item_at", "main", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("slots", "own").alias("values"))
+        pairs = scratch.write(pairs.distinct(), "window-matches")
+        rows = scratch.write(_matched(pairs, sizes), "matched")
+        scope = ["doc_id", "item_id", "kind", "place"]
+        counts = rows.groupBy(*scope).agg(F.count_if("main").alias("m_main"), F.count(F.lit(1)).alias("m_all"))
+        values = rows.select(*scope, F.explode("values").alias("v")).select(*scope, "v.slots", "v.own").distinct()
+        other = F.count_if(F.col("own") != F.col("slots")).alias("other")
+        slots = values.groupBy(*scope).agg(F.count_distinct("slots").alias("n_slots"), other)
+        found = counts.join(slots, scope, "left").join(sizes, "item_id")
+        parts = [F.struct((F.col(f"m_{n}") / F.nullif(f"n_{n}", F.lit(0))).alias("coverage"), F.col(f"m_{n}").alias("m"), F.col(f"n_{n}").alias("n")) for n in ("main", "all")]
+        found = found.withColumn("c", F.when(parts[0]["coverage"] >= parts[1]["coverage"], parts[0]).otherwise(parts[1]))
+        best = F.max(F.struct("c.coverage", (-F.coalesce("other", F.lit(0))).alias("same"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), "c.m", "c.n"))
+        found = found.groupBy("doc_id", "item_id").agg(best.alias("best")).where(F.col("best.coverage") >= settings.coverage)
         out = found.select(
-            "doc_id", "item_id", "best.n_matched", "n_windows", "coverage", "best.n_slots", (F.col("best.same") == 0).alias("verbatim")
-        )
+            "doc_id", "item_id", F.col("best.m").alias("n_matched"), F.col("best.n").alias("n_windows"), "best.coverage", "best.n_slots",
+            (F.col("best.same") == 0).alias("verbatim"),
+        )
         return scratch.keep(out, "contaminated")

@@ -271,6 +271,36 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in got] == [1]
 
 
+def found_in(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    return {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()}
+
+
+def test_names_that_open_sentences_and_other_cases(spark):
+    item = "Tom has 5 apples. Tom gives 2 apples to Mary. Mary eats 1 of them. How many apples does Tom have now?"
+    other = item.replace("5", "9").replace("2", "4").replace("1", "2").replace("Tom", "Lucy").replace("Mary", "John")
+    texts = [other, item.upper(), item.title(), item.lower(), item.replace(" ", "\n"), sentence(5, 60)]
+    assert found_in(spark, item, texts) == {0, 1, 2, 3, 4}
+
+
+LONG = (
+    "the baker puts 4 trays of fresh bread into his old oven and then waits for a while until the crust is brown enough to sell "
+    "while 6 guests stand outside with their small dogs and ask how long it takes"
+)
+
+
+def test_insertions_and_longer_names_shift_the_alignment(spark):
+    half = LONG.replace("until the crust", "until suddenly the crust").replace(" 6 guests", " about 8 guests").replace("brown enough", "very brown enough")
+    named = LONG.replace("his old", "Peter their").replace("small dogs", "dogs of Peter")
+    texts = [half, named.replace("Peter", "Mary Ann Lou")]
+    assert found_in(spark, LONG, texts[:1]) == {0} and found_in(spark, named, ["", texts[1]]) == {1}
+
+
+def test_a_conflicting_slot_costs_its_windows_only(spark):
+    item = LONG.replace("6 guests", "4 guests")
+    assert found_in(spark, item, [item.replace("4 guests", "7 guests"), item.replace("4 trays", "7 trays").replace("4 guests", "9 guests")]) == {0, 1}
+
+
 def test_decontamination_finds_all_verbatim_passages(spark, documents, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     inside = {(d["doc_id"], b["item_id"]) for d in documents.collect() for b in bench if b["text"] in d["text"]}
