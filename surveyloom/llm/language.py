@@ -39,12 +39,8 @@ SCRIPT_OF_RANGE = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: about so many labelled documents are learned from at most, chosen by a hash of their text.
+    """``switch``: penalty of a change of language. ``least_share``: share of a language's letters that a script must have to count."""
 
-    ``switch``: penalty of a change of language. ``least_share``: share of a language's letters that a script must have to count.
-    """
-
-    sample: int = 20_000
     buckets: int = 1 << 15
     orders: int = 3
     smoothing: float = 0.5
@@ -151,12 +147,9 @@ def count_grams(settings: Settings):
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Model from ``text, lang``. What reaches the driver is bounded by languages times places of the score table."""
+    """Model from all rows of ``text, lang``. What reaches the driver is bounded by languages times places of the score table."""
     ship(labelled.sparkSession)
     labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = labelled.count()
-    if n > settings.sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * settings.sample / n))
     counts = labelled.mapInArrow(count_grams(settings), "lang string, place int, n double")
     rows = counts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())

@@ -430,6 +430,13 @@ def test_language_spans_and_scripts(spark):
     assert [(s["start"], s["end"], s["lang"]) for s in got["spans"]] == [(0, 22, "en"), (22, 38, "el")]
 
 
+def test_rare_languages_are_learned_from_large_tables(spark):
+    many = spark.range(200_000).select(F.concat(F.lit("the cat "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.createDataFrame([("το γρήγορο ζώο", "el"), ("der schnelle hund", "de"), ("быстрая лиса", "ru")], "text string, lang string")
+    model = language.learn(many.union(few))
+    assert model.languages == ["de", "el", "en", "ru"] and np.isclose(model.prior[2], np.log(200_001 / 200_007))
+
+
 def test_language_edges(edges, nothing, rows):
     got = {r["doc_id"]: r for r in language.identify_languages(edges).collect()}
     assert [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3 and got[7]["lang_pred"] != "und" and not got[None]["held_out"]
