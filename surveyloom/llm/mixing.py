@@ -86,7 +86,7 @@ def source_rates(sizes: DataFrame, scratch: Scratch, settings: Settings = Settin
 
 
 def mix_sources(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, n_copies, taken``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, n_copies``.
 
     ``size`` is the number of words, 0 for a null or empty text. A null source is a source of its own, the last in order. Rows with the
     same id share a draw, a null id has the draw of null. A source without words has target 0. An empty table gives an empty
@@ -98,7 +98,7 @@ def mix_sources(docs: DataFrame, settings: Settings = Settings(), text: str = "t
         rates = source_rates(sizes, scratch, settings)
         out = sizes.join(rates, F.col("source").eqNullSafe(F.col("of")))
         out = out.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), settings.seed))
-        out = out.select("doc_id", "size", "source_size", "target", "n_copies", (F.col("size") * F.col("n_copies")).alias("taken"))
+        out = out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies")
         return scratch.keep(out, "mix")
 
 

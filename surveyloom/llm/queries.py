@@ -204,7 +204,7 @@ WITH d AS (
 ), n AS (
     SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS n_copies FROM r
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, n_copies, size * n_copies AS taken FROM n
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, size * n_copies AS taken, n_copies FROM n
 """
 
 
