@@ -348,6 +348,15 @@ RENAMED = ", ".join(
 )
 N_COLUMNS = len(SURVEY_COLUMNS)
 
+FIT_PROFILE = _with(
+    f"SELECT variant, CAST(n0 + n1 AS BIGINT) AS n_rows, CAST(n0 + n1 AS BIGINT) AS n_inside, "
+    f"{fixed('-(share * ln(share) + (1 - share) * ln(1 - share))')} AS base_loss, true AS beats_base, true AS flat FROM shares",
+    classes="SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, "
+    "CAST(sum(state_population) FILTER (label = 0) AS DOUBLE) AS w0, CAST(sum(state_population) FILTER (label = 1) AS DOUBLE) AS w1 FROM scored",
+    shares="SELECT 'standard' AS variant, n0, n1, 0.5e0 AS share FROM classes UNION ALL "
+    "SELECT 'survey_weighted', n0, n1, (w1 / n1) / (w0 / n0 + w1 / n1) FROM classes",
+)
+
 ORACLES = {
     "group_population": _with("SELECT ST, state_population FROM pop"),
     "csv_union_by_name": _codes(),
@@ -431,4 +440,7 @@ ORACLES = {
     "roc_auc": _with(_fixed_values(_auc_rows())),
     "weighted_bce": _bce(),
     "variant_report": _report(),
+    "lr_fit_profile": FIT_PROFILE,
+    "gbt_fit_profile": FIT_PROFILE,
+    "mlp_fit_profile": FIT_PROFILE,
 }

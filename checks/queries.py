@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from checks.fixture import LABELS, SPEC, survey
 from surveyloom import census
 from surveyloom.functions import columns as C
-from surveyloom.operators import copula, design, features, groups, labels, metrics, models, profile
+from surveyloom.operators import certificates, copula, design, features, groups, labels, metrics, models, profile
 from surveyloom.session import scratch_path, written
 from surveyloom.sources import readers, runs, writers
 from surveyloom.spec import TableSpec
@@ -22,6 +22,7 @@ COPULA_COLUMNS = list(SPEC.sequence)
 STATE_LABELS = {fips: usps for usps, fips in census.STATES.items()}
 DESIGN_LABELS = {**LABELS, "ST": STATE_LABELS}
 WANTED = ["CA", "NY", "TX"]
+GRADIENT_LIMIT = 1e-8
 
 
 def fixed(col: Column, digits: int = 6) -> Column:
@@ -414,11 +415,15 @@ def variant_report(spark: SparkSession, sf: str) -> DataFrame:
 # models
 
 
+def _problem(spark: SparkSession, sf: str) -> models.Problem:
+    model, table = _design(spark, sf)
+    matrix = written(model.transform(table), "design")
+    return models.Problem.split(matrix, census.TARGET, census.COMPLEMENT, census.WEIGHT)
+
+
 def _fit_score(kind: str, settings: dict | None = None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        model, table = _design(spark, sf)
-        matrix = written(model.transform(table), "design")
-        problem = models.Problem.split(matrix, census.TARGET, census.COMPLEMENT, census.WEIGHT)
+        problem = _problem(spark, sf)
         fitted = models.fit_variants(problem, kind, settings)
         scored = models.score_variants(problem, fitted)
         return metrics.threshold_labels(scored, "label", {v: f"p_{v}" for v in fitted}, prefix="predicted_disability_")
@@ -426,6 +431,20 @@ def _fit_score(kind: str, settings: dict | None = None):
     return run
 
 
+def _fit_profile(kind: str, settings: dict | None = None):
+    """What holds for a good fit, per variant; see ``certificates``."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        problem = _problem(spark, sf)
+        found = certificates.fit_certificate(problem, models.fit_variants(problem, kind, settings))
+        flat = F.coalesce(F.col("gradient") < GRADIENT_LIMIT, F.lit(True))
+        return _rounded(
+            found.select("variant", "n_rows", "n_inside", "base_loss", (F.col("loss") < F.col("base_loss")).alias("beats_base"), flat.alias("flat"))
+        )
+
+    return run
+
+
 QUERIES = {
     "group_population": group_population,
     "csv_union_by_name": csv_union_by_name,
@@ -481,4 +500,7 @@ QUERIES = {
     "lr_fit_score": _fit_score("logistic_regression"),
     "gbt_fit_score": _fit_score("boosted_trees"),
     "mlp_fit_score": _fit_score("neural_network"),
+    "lr_fit_profile": _fit_profile("logistic_regression"),
+    "gbt_fit_profile": _fit_profile("boosted_trees", {"trees": 20}),
+    "mlp_fit_profile": _fit_profile("neural_network", {"epochs": 20}),
 }
