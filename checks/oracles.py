@@ -199,6 +199,25 @@ def _design_transform() -> str:
     )
 
 
+def _sparse_design() -> str:
+    def number(c: str, position: int) -> str:
+        span = f"CAST(CAST((({c} - low_{c}) / CAST(high_{c} - low_{c} AS DOUBLE)) AS FLOAT) AS DOUBLE)"
+        return f"SELECT {position} AS position, '{c}' AS name, {span} AS x FROM feat, b WHERE {span} <> 0"
+
+    texts = ["INDP", "OCCP", "SERIALNO"]
+    found = " UNION ALL ".join(f"SELECT {i} AS place, '{t}' AS feature, {t} AS v FROM feat" for i, t in enumerate(texts))
+    cells = [number("AGEP", 0), number("WAGP", 1)]
+    cells += [f"SELECT {2 + i}, 'SEX_{text}', 1e0 FROM feat WHERE SEX = '{code}'" for i, (code, text) in enumerate(LABELS["SEX"].items())]
+    cells.append("SELECT position, feature || '_' || v, 1e0 FROM found JOIN vocabulary USING (place, feature, v)")
+    return _with(
+        f"SELECT CAST(position AS BIGINT) AS position, name, count(*) AS n_rows, {fixed('sum(x)', 3)} AS total FROM cells GROUP BY ALL",
+        b=_bounds(["AGEP", "WAGP"], "feat"),
+        found=found,
+        vocabulary="SELECT place, feature, v, 3 + row_number() OVER (ORDER BY place, v) AS position FROM (SELECT DISTINCT * FROM found)",
+        cells=" UNION ALL ".join(cells),
+    )
+
+
 def _labelled_values() -> str:
     pairs = ", ".join(f"('{c}', '{k}', {_text(v)})" for c, codes in LABELS.items() for k, v in codes.items())
     return _with(
@@ -440,6 +459,7 @@ ORACLES = {
     "roc_auc": _with(_fixed_values(_auc_rows())),
     "weighted_bce": _bce(),
     "variant_report": _report(),
+    "sparse_design": _sparse_design(),
     "lr_fit_profile": FIT_PROFILE,
     "gbt_fit_profile": FIT_PROFILE,
     "mlp_fit_profile": FIT_PROFILE,

@@ -10,6 +10,7 @@ from checks.fixture import LABELS, SPEC, survey
 from surveyloom import census
 from surveyloom.functions import columns as C
 from surveyloom.operators import certificates, copula, design, features, groups, labels, metrics, models, profile
+from surveyloom.operators.sparse_design import fit_sparse
 from surveyloom.session import scratch_path, written
 from surveyloom.sources import readers, runs, writers
 from surveyloom.spec import TableSpec
@@ -350,6 +351,18 @@ def design_transform(spark: SparkSession, sf: str) -> DataFrame:
     return _floats(model.transform(table.where("SEX = '2'")))
 
 
+SPARSE_COLUMNS = ["AGEP", "WAGP", "SEX", "INDP", "OCCP", "SERIALNO"]
+
+
+def sparse_design(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and total per column of the sparse matrix; one of its text columns has a value of its own in every row."""
+    table = written(_features(spark, sf).select(*SPARSE_COLUMNS), "sparse-input")
+    model = fit_sparse(design.DesignSpec({"SEX": LABELS["SEX"]}), table)
+    cells = model.transform(table).select(F.inline(F.arrays_zip("indices", "values")))
+    totals = cells.groupBy(F.col("indices").alias("position")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("values").alias("total"))
+    return _rounded(totals.join(model.names(spark), "position"), 3)
+
+
 def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
     dim = labels.value_labels(spark, LABELS)
     long = labels.labelled_values(survey(spark, sf), list(LABELS), dim)
@@ -486,6 +499,7 @@ QUERIES = {
     "min_max": min_max,
     "design_matrix": design_matrix,
     "design_transform": design_transform,
+    "sparse_design": sparse_design,
     "labelled_values": labelled_values,
     "describe": describe,
     "correlation_matrix": correlation_matrix,
