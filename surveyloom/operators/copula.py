@@ -115,44 +115,110 @@ def column_marginals(df: DataFrame, group: str, columns: Sequence[str]) -> DataF
     return df.groupBy(group).agg(*stats).select(group, F.inline(rows))
 
 
+def group_chunks(df: DataFrame, group: str, tasks: int) -> dict:
+    """Number of chunks of the groups that are cut: those with more than a fair part of half a task's rows.
+
+    At most 2 · ``tasks`` groups can have that many rows, which bounds what reaches the driver.
+    """
+    counts = written(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "copula-sizes")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    part = max(1, -(-total // (2 * tasks)))
+    return {r[group]: -(-r["n"] // part) for r in counts.where(F.col("n") > part).collect()}
+
+
+class _Lookup:
+    """Scores of one group: z of each value of its text columns, mean and deviation of its numbers."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple]] = {}
+        self.ready: dict[int, tuple[pd.Index, np.ndarray]] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        places = batch.column("place").to_numpy(zero_copy_only=False)
+        for place in np.unique(places):
+            rows = batch.filter(pa.array(places == place))
+            held = rows.column("value"), *(rows.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            self.parts.setdefault(int(place), []).append(held)
+
+    def texts(self, place: int, column: pa.Array) -> np.ndarray:
+        """z of every text; 0 for nulls and texts that the fit has not seen."""
+        if place not in self.ready:
+            parts = self.parts.get(place, [])
+            values = pd.Index([v for values, *_ in parts for v in values.to_pylist()], dtype=object)
+            self.ready[place] = values, np.append(np.concatenate([z for _, z, _ in parts] or [np.zeros(0)]), 0.0)
+        values, z = self.ready[place]
+        coded = column.dictionary_encode()
+        known = z[values.get_indexer(pd.Index(coded.dictionary.to_pylist(), dtype=object))] if len(coded.dictionary) else z[:0]
+        return np.append(known, 0.0)[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+
+    def numbers(self, place: int, column: pa.Array) -> np.ndarray:
+        x = column.to_numpy(zero_copy_only=False)
+        mean, sd = next(((m[0], s[0]) for _, m, s in self.parts.get(place, [])), (np.nan, np.nan))
+        return np.nan_to_num((x - mean) / sd, nan=0.0) if sd > 0 else np.zeros(len(x))
+
+
+def _score_stream(group: str, columns: Sequence[str], numeric: set[str]):
+    """mapInArrow function over sorted rows: the lookup of a (group, chunk) comes first, then its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lookup = None, _Lookup()
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = batch.column(group).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            chunks, kinds = (batch.column(c).to_numpy() for c in ("chunk", "kind"))
+            changes = (np.diff(codes) != 0) | (np.diff(chunks) != 0) | (np.diff(kinds) != 0)
+            edges = [0, *(np.flatnonzero(changes) + 1), len(batch)]
+            for begin, end in zip(edges, edges[1:]):
+                part = batch.slice(begin, end - begin)
+                own = part.column(group)[0].as_py(), int(chunks[begin])
+                if own != key:
+                    key, lookup = own, _Lookup()
+                if kinds[begin] == 0:
+                    lookup.add(part)
+                    continue
+                z = [lookup.numbers(i, part.column(f"c{i}")) if c in numeric else lookup.texts(i, part.column(f"c{i}")) for i, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([part.column(group), *[pa.array(v, pa.float64()) for v in z]], [group, *[f"z{i}" for i in range(len(z))]])
+
+    return run
+
+
 def normal_scores(
     df: DataFrame, group: str, columns: Sequence[str], intervals: DataFrame, marginals: DataFrame
 ) -> DataFrame:
-    """Group and one score column ``z0, z1, …`` per input column.
+    """Group and one score column ``z0, z1, …`` per input column; nulls and values that the fit has not seen score 0.
 
-    Each categorical column is looked up by (group, value) in its own slice of the interval table, and all means and
-    deviations by group. The tables were written, so Catalyst knows their size: it broadcasts the small ones and
-    shuffles otherwise, where AQE splits a hot group.
+    Rows are shuffled once, by group and chunk, and meet there what is needed to score them: the group's intervals and moments, sent to each of
+    its chunks ahead of the rows. A hot group has as many chunks as its rows fill half tasks. Rows are streamed; a task
+    holds the vocabulary of one group.
     """
-    numeric = [c for c in columns if c in split_by_type(df)[0]]
-    out = df
-    if numeric:
-        moments = marginals.groupBy(group).pivot("feature", numeric).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"))
-        moments = moments.select(
-            F.col(group),
-            *[quoted(f"{c}_{f}").alias(f"_{f}{i}") for i, c in enumerate(numeric) for f in ("mean", "sd")],
-        )
-        out = out.join(written(moments, "copula-moments"), group, "left")
-    for i, c in enumerate(columns):
-        if c in numeric:
-            continue
-        slice_ = intervals.where(F.col("feature") == c).select(
-            F.col(group),
-            F.col("value").alias(c),
-            (((F.col("lo") + F.col("hi")) / 2 - 0.5) * math.sqrt(12.0)).alias(f"_z{i}"),
-        )
-        out = out.join(slice_, [group, c], "left")
-    scores = []
-    for i, c in enumerate(columns):
-        if c in numeric:
-            j = numeric.index(c)
-            sd = F.col(f"_sd{j}")
-            z = F.when(sd > 0, (quoted(c).cast("double") - F.col(f"_mean{j}")) / sd)
-            z = F.coalesce(z, F.lit(0.0))
-        else:
-            z = F.coalesce(F.col(f"_z{i}"), F.lit(0.0))
-        scores.append(z.alias(f"z{i}"))
-    return out.select(group, *scores)
+    numeric = {c for c in columns if c in split_by_type(df)[0]}
+    places = {c: i for i, c in enumerate(columns)}
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = group_chunks(df.select(group), group, tasks)
+    chunks = F.lit(1)
+    for name, n in cut.items():
+        chunks = F.when(quoted(group).eqNullSafe(F.lit(name)), F.lit(n)).otherwise(chunks)
+    place = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])[F.col("feature")]
+    z = ((F.col("lo") + F.col("hi")) / 2 - 0.5) * math.sqrt(12.0)
+    known = intervals.where(F.col("value").isNotNull()).select(
+        quoted(group), place.alias("place"), F.col("value").cast("string").alias("value"), z.alias("a"), F.lit(None).cast("double").alias("b")
+    )
+    moments = marginals.select(quoted(group), place.alias("place"), F.lit(None).cast("string").alias("value"), F.col("mean").alias("a"), F.col("sd").alias("b"))
+    lookup = known.unionByName(moments).where(F.col("place").isNotNull())
+    each = F.explode(F.sequence(F.lit(0), chunks - 1))
+    cells = [quoted(c).cast("double" if c in numeric else "string").alias(f"c{i}") for i, c in enumerate(columns)]
+    kinds = {f"c{i}": "double" if c in numeric else "string" for i, c in enumerate(columns)}
+    ahead = lookup.select(
+        quoted(group), each.alias("chunk"), F.lit(0).alias("kind"), "place", "value", "a", "b", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    )
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), chunks).cast("int")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("place", "int"), ("value", "string"), ("a", "double"), ("b", "double"))]
+    rows = df.select(quoted(group), dealt.alias("chunk"), F.lit(1).alias("kind"), *nothing, *cells)
+    together = ahead.unionByName(rows).repartition(tasks, quoted(group), "chunk").sortWithinPartitions(quoted(group), "chunk", "kind")
+    kind = df.schema[group].dataType.simpleString()
+    schema = f"`{group}` {kind}, " + ", ".join(f"z{i} double" for i in range(len(columns)))
+    return together.mapInArrow(_score_stream(group, list(columns), numeric), schema)
 
 
 def _gram_partials(group: str, width: int, key_type: pa.DataType):

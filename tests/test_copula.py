@@ -151,11 +151,58 @@ def test_hot_group_is_made_by_many_tasks_without_a_broadcast(spark, model, monke
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-def test_lookup_tables_are_broadcast_and_rows_not_shuffled(training, model):
-    scores = copula.normal_scores(training, "ST", COLUMNS, model.intervals, model.marginals)
-    plan = scores._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
-    assert plan.count("BroadcastHashJoin") == 2
+def brute_scores(pdf, columns, numeric):
+    """Scores of a table from the definition, group by group."""
+    out = {}
+    for g, part in pdf.groupby("ST"):
+        z = {}
+        for c in columns:
+            if c in numeric:
+                sd = part[c].std(ddof=0)
+                z[c] = ((part[c] - part[c].mean()) / sd).fillna(0.0) if sd > 0 else part[c] * 0.0
+            else:
+                counts = sorted(((-n, v) for v, n in part[c].fillna("\x00").value_counts().items()))
+                at, mid = 0, {}
+                for n, v in counts:
+                    mid[v] = (at - n / 2) / len(part)
+                    at -= n
+                z[c] = part[c].map(lambda v: 0.0 if v is None else (mid[v] - 0.5) * np.sqrt(12))
+        out[g] = sorted(zip(*[z[c].round(9) for c in columns]))
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 8, 40])
+def test_scores_against_the_definition(spark, training, model, tasks):
+    """Also with a group cut over many chunks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        scores = copula.normal_scores(training, "ST", COLUMNS, model.intervals, model.marginals).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = {g: sorted(zip(*[p[f"z{i}"].round(9) + 0.0 for i in range(3)])) for g, p in scores.groupby("ST")}
+    expected = brute_scores(training.toPandas(), COLUMNS, {"age", "income"})
+    for g in expected:
+        assert np.allclose(found[g], expected[g], atol=1e-8)
+
+
+def test_rows_are_shuffled_once_however_many_text_columns(spark):
+    """53 text columns, broadcast joins off: one exchange of rows, no join."""
+    texts = [f"t{i}" for i in range(53)]
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("g"), *[(F.col("id") * (i + 3) % (i + 2)).cast("string").alias(t) for i, t in enumerate(texts)]
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        intervals = copula.written(copula.category_intervals(df, "g", texts), "intervals")
+        marginals = spark.createDataFrame([], "g string, feature string, mean double, sd double")
+        scores = copula.normal_scores(df, "g", texts, intervals, marginals)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
+        assert scores.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_nulls_and_empty_columns_do_not_stop_the_fit(spark):
