@@ -292,13 +292,16 @@ def copula_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copula_sample_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Drawn rows per group, and whether numbers stay in the range and texts in the vocabulary of the training rows."""
+    """Drawn rows per group, and whether all numbers stay in the range and all texts in the vocabulary of the training rows."""
     training, drawn = _drawn(spark, sf)
-    seen = training.groupBy("ST").agg(
-        F.min("WAGP").alias("low"), F.max("WAGP").alias("high"), F.collect_set("SCHL").alias("values")
-    )
-    joined = drawn.join(written(seen, "seen"), "ST")
-    inside = F.col("WAGP").between(F.col("low"), F.col("high")) & F.array_contains("values", F.col("SCHL"))
+    numeric, _ = features.split_by_type(training)
+    columns = SPEC.synthesised(training.columns)
+    cells = [x for c in columns if c in numeric for x in (F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"))]
+    cells += [F.collect_set(c).alias(f"{c}_values") for c in columns if c not in numeric]
+    joined = drawn.join(written(training.groupBy("ST").agg(*cells), "seen"), "ST")
+    inside = F.lit(True)
+    for c in columns:
+        inside &= F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")) if c in numeric else F.array_contains(f"{c}_values", F.col(c))
     return joined.groupBy("ST", "state_population").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_inside")
     )

@@ -29,6 +29,8 @@ from surveyloom.session import written
 BLOCK_ROWS = 8192  # rows made from one random stream; part of what a seed means
 BLOCKS_PER_CHUNK = 64  # blocks of one group that a task makes in a row
 MAX_DIGITS = 9
+VALUES_IN_ROW = 4096  # categories of one group and column that may travel in one row; longer lists are looked up by a join
+END_SALTS = 16  # tasks that share the first, and the last, bucket of a looked-up column, where draws beyond the ends are
 GROUPS_IN_MEMORY = 256  # Gram matrices held by a task before they are sent on
 
 
@@ -307,8 +309,16 @@ def correlation_factors(model: CopulaModel) -> DataFrame:
     return model.correlations.groupBy(group).applyInPandas(factor, f"`{group}` {kind}, factor array<double>")
 
 
-def sampler_parameters(model: CopulaModel) -> DataFrame:
-    """One row per group with everything a block needs: factor, numeric marginals, categories with their upper ends."""
+def value_counts(model: CopulaModel) -> DataFrame:
+    """``(group, feature, n_values)`` of the categorical columns."""
+    return written(model.intervals.groupBy(model.group, "feature").agg(F.count(F.lit(1)).alias("n_values")), "copula-values")
+
+
+def sampler_parameters(model: CopulaModel, counts: DataFrame) -> DataFrame:
+    """One row per group with everything a block needs: factor, numeric marginals, categories with their upper ends.
+
+    Lists of more than ``VALUES_IN_ROW`` categories stay out of the row; only their lengths are in it.
+    """
     group = model.group
     out = correlation_factors(model)
     if model.numeric:
@@ -321,15 +331,16 @@ def sampler_parameters(model: CopulaModel) -> DataFrame:
     else:
         out = out.withColumn("marginals", F.lit(None).cast("map<string,array<double>>"))
     if model.categorical:
-        per_column = model.intervals.groupBy(group, "feature").agg(
-            F.sort_array(F.collect_list(F.struct("hi", "value"))).alias("ends")
-        )
+        short = model.intervals.join(counts.where(F.col("n_values") <= VALUES_IN_ROW), [group, "feature"], "left_semi")
+        per_column = short.groupBy(group, "feature").agg(F.sort_array(F.collect_list(F.struct("hi", "value"))).alias("ends"))
         categories = per_column.groupBy(group).agg(
             F.map_from_entries(F.collect_list(F.struct("feature", F.struct(F.col("ends.hi").alias("hi"), F.col("ends.value").alias("value"))))).alias("categories")
         )
-        out = out.join(categories, group)
+        lengths = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("feature", "n_values"))).alias("lengths"))
+        out = out.join(categories, group, "left").join(lengths, group)
     else:
         out = out.withColumn("categories", F.lit(None).cast("map<string,struct<hi:array<double>,value:array<string>>>"))
+        out = out.withColumn("lengths", F.lit(None).cast("map<string,bigint>"))
     return out
 
 
@@ -339,8 +350,11 @@ def _stream(seed: int, group: object, block: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, block], dtype=np.uint64)))
 
 
-def draw_block(columns, numeric, long, parameters: dict, group: object, block: int, rows: int, seed: int) -> list[pa.Array]:
-    """The rows of one block, column by column: correlated normals turned back into values."""
+def draw_block(columns, numeric, long, parameters: dict, group: object, block: int, rows: int, seed: int, looked_up: Sequence = ()) -> list[pa.Array]:
+    """The rows of one block, column by column: correlated normals turned back into values.
+
+    Categories that are not in the parameters are null; for the columns of ``looked_up`` place and number of values follow.
+    """
     z = _stream(seed, group, block).standard_normal((rows, len(columns))) @ parameters["lower"].T
     out = []
     for i, c in enumerate(columns):
@@ -352,13 +366,47 @@ def draw_block(columns, numeric, long, parameters: dict, group: object, block: i
             x = np.clip(mean + sd * z[:, i], low, high)
             x = np.round(x, int(digits)) if digits <= MAX_DIGITS else x
             out.append(pa.array(x.astype(np.int64) if c in long else x))
-        else:
+        elif c in parameters["categories"]:
             ends, values = parameters["categories"][c]
-            u = np.clip(0.5 + z[:, i] / math.sqrt(12.0), 0.0, 1.0)
-            out.append(values.take(pa.array(np.minimum(np.searchsorted(ends, u, side="right"), len(ends) - 1))))
+            out.append(values.take(pa.array(np.minimum(np.searchsorted(ends, _share(z[:, i]), side="right"), len(ends) - 1))))
+        else:
+            out.append(pa.nulls(rows, pa.string()))
+    for i, c in looked_up:
+        length = None if c in parameters["categories"] else parameters["lengths"].get(c)
+        out += [pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.int64())] if length is None else [pa.array(_share(z[:, i])), pa.repeat(length, rows)]
     return out
 
 
+def _share(z: np.ndarray) -> np.ndarray:
+    """Place of a normal score in the unit interval that the categories share."""
+    return np.clip(0.5 + z / math.sqrt(12.0), 0.0, 1.0)
+
+
+def _looked_up(drawn: DataFrame, model: CopulaModel, counts: DataFrame, place: int, feature: str) -> DataFrame:
+    """Fill a column from its place ``_u`` among the ``_b`` values of its group, by a join on (group, bucket of the place).
+
+    As many buckets as values: a value is in each bucket that its interval touches, at most twice as many entries as values in all. The end
+    buckets, which also take the draws beyond the ends, are shared by several tasks. Rows whose group has a short list have no
+    place; they go by buckets of their own that meet nothing.
+    """
+    u, b, row = F.col(f"_u{place}"), F.col(f"_b{place}"), F.col("_row")
+    long = counts.where((F.col("feature") == feature) & (F.col("n_values") > VALUES_IN_ROW)).select(model.group, F.col("n_values").alias("_n"))
+    values = model.intervals.where(F.col("feature") == feature).join(long, model.group)
+    last = F.col("_n") - 1
+    first, end = (F.least(F.floor(F.col(x) * F.col("_n")), last) for x in ("lo", "hi"))
+    values = values.select(quoted(model.group).alias("_g"), F.col("value").alias("_value"), "lo", "hi", "_n", F.explode(F.sequence(first, end)).alias("_bucket"))
+    at_end = (F.col("_bucket") == 0) | (F.col("_bucket") == last)
+    salts = F.sequence(F.lit(0), F.when(at_end, F.lit(END_SALTS - 1)).otherwise(F.lit(0)))
+    values = written(values.withColumn("_salt", F.explode(salts)), "copula-buckets")
+    own = F.coalesce(F.least(F.floor(u * b), b - 1), -1 - F.pmod(row, F.lit(4096)))
+    salt = F.when((own == 0) | (own == b - 1), F.pmod(row, F.lit(END_SALTS))).otherwise(F.lit(0))
+    inside = (F.col("lo") <= u) & ((u < F.col("hi")) | (F.col("hi") >= 1.0))
+    on = (quoted(model.group) == F.col("_g")) & (own == F.col("_bucket")) & (salt == F.col("_salt")) & inside
+    joined = drawn.join(values, on, "left")
+    filled = F.coalesce(quoted(feature), F.col("_value")).alias(feature)
+    return joined.select(*[filled if c == feature else quoted(c) for c in drawn.columns])
+
+
 def _parameters(row: dict, width: int) -> dict:
     return {
         "lower": np.array(row["factor"], dtype=np.float64).reshape(width, width),
@@ -366,6 +414,7 @@ def _parameters(row: dict, width: int) -> dict:
         "categories": {
             c: (np.array(e["hi"]), pa.array(e["value"], pa.string())) for c, e in (row["categories"] or [])
         },
+        "lengths": dict(row["lengths"] or []),
     }
 
 
@@ -386,19 +435,25 @@ def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequen
     """Draw ``sizes.n`` rows per group; ``carry`` are columns of ``sizes`` repeated on each row of the group.
 
     A chunk of blocks carries its group's parameters, and chunks are dealt out after the join, so a hot group is made by as many
-    tasks whether or not the join was a broadcast. The rows depend only on seed, group and block.
+    tasks whether or not the join was a broadcast. The rows depend only on seed, group and block. No row holds more than
+    ``VALUES_IN_ROW`` categories of a column: longer lists are looked up row by row, see ``_looked_up``.
     """
     group, columns, numeric, long = model.group, model.columns, model.numeric, model.long
     wanted = written(sample_chunks(sizes.select(group, "n", *carry), group), "copula-chunks")
     tasks = max(wanted.count(), 1)
     tasks = min(tasks, max(sizes.sparkSession.sparkContext.defaultParallelism * 4, tasks // 16))
-    jobs = wanted.join(written(sampler_parameters(model), "copula-parameters"), group).repartition(tasks, group, "first")
+    counts = value_counts(model) if model.categorical else None
+    jobs = wanted.join(written(sampler_parameters(model, counts), "copula-parameters"), group).repartition(tasks, group, "first")
+    listed = [] if counts is None else [r["feature"] for r in counts.where(F.col("n_values") > VALUES_IN_ROW).select("feature").distinct().collect()]
+    looked_up = [(i, c) for i, c in enumerate(columns) if c in listed]
+    places = {name: kind for i, _ in looked_up for name, kind in ((f"_u{i}", "double"), (f"_b{i}", "bigint"))}
+    places |= {"_row": "bigint"} if looked_up else {}
     kinds = {c: "bigint" if c in long else "double" if c in numeric else "string" for c in columns}
     carried = {c: sizes.schema[c].dataType.simpleString() for c in (group, *carry)}
-    schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **carried}.items())
+    schema = ", ".join(f"`{c}` {t}" for c, t in {**kinds, **places, **carried}.items())
 
     arrow_types = {c: to_arrow_type(sizes.schema[c].dataType) for c in carried}
-    numbers, whole, names = set(numeric), set(long), [*columns, *carried]
+    numbers, whole, names = set(numeric), set(long), [*columns, *places, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -407,12 +462,16 @@ def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequen
             for at, row in enumerate(keys):
                 if row[group] not in held:
                     held = held if len(held) < GROUPS_IN_MEMORY else {}
-                    wide = batch.slice(at, 1).select(["factor", "marginals", "categories"]).to_pylist()[0]
+                    wide = batch.slice(at, 1).select(["factor", "marginals", "categories", "lengths"]).to_pylist()[0]
                     held[row[group]] = _parameters(wide, len(columns))
                 for block in range(row["first"], row["first"] + row["blocks"]):
                     n = min(BLOCK_ROWS, row["n"] - block * BLOCK_ROWS)
-                    drawn = draw_block(columns, numbers, whole, held[row[group]], row[group], block, n, seed)
+                    drawn = draw_block(columns, numbers, whole, held[row[group]], row[group], block, n, seed, looked_up)
+                    drawn += [pa.array(np.arange(n, dtype=np.int64) + block * BLOCK_ROWS)] if looked_up else []
                     drawn += [pa.repeat(pa.scalar(row[c], arrow_types[c]), n) for c in carried]
                     yield pa.RecordBatch.from_arrays(drawn, names)
 
-    return jobs.mapInArrow(run, schema)
+    drawn = jobs.mapInArrow(run, schema)
+    for i, c in looked_up:
+        drawn = _looked_up(drawn, model, counts, i, c)
+    return drawn.drop(*places)

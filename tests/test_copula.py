@@ -121,6 +121,30 @@ def test_a_column_of_many_values_is_a_category_too(spark):
     assert drawn.join(df, "c", "left_anti").count() == 0
 
 
+def test_long_lists_are_looked_up_with_the_same_draw(spark, training, model, monkeypatch):
+    """Every list looked up by buckets, or only that of the longer ones: the rows are those of lists in the parameters."""
+    mixed = training.withColumn("sex", F.when((F.col("ST") == "06") & (F.col("age") % 2 == 0), F.concat(F.lit("v"), F.col("age"))).otherwise(F.col("sex")))
+    mixed = mixed.withColumn("kind", F.when(F.col("age") > 45, F.lit(None)).otherwise(F.concat("sex", F.col("age") % 3)))
+    wide = copula.fit_copula(mixed, "ST", ["age", "sex", "kind", "income"])
+    sizes = _sizes(spark, _06=9000, _11=500)
+    draw = lambda: sorted(map(tuple, copula.sample_copula(wide, sizes, 5, carry=["total"]).collect()), key=repr)
+    one = draw()
+    for limit in (0, 3, 12):
+        monkeypatch.setattr(copula, "VALUES_IN_ROW", limit)
+        assert draw() == one
+
+
+def test_a_column_of_200_000_values_is_sampled_with_bounded_rows(spark):
+    df = spark.range(200_000).selectExpr("'a' AS g", "concat('v', id) AS c", "CAST(id % 100 AS DOUBLE) AS v")
+    model = copula.fit_copula(df, "g", ["c", "v"])
+    longest = copula.sampler_parameters(model, copula.value_counts(model)).select(F.size("categories")).collect()
+    assert [r[0] for r in longest] == [None]  # no list in any row
+    drawn = copula.sample_copula(model, spark.createDataFrame([("a", 20_000)], "g string, n bigint"), 1)
+    assert drawn.columns == ["c", "v", "g"] and drawn.where("c IS NULL").count() == 0
+    assert drawn.count() == 20_000 and drawn.select("c").distinct().count() > 15_000
+    assert drawn.join(df, "c", "left_anti").count() == 0
+
+
 def test_model_round_trip(spark, model, tmp_path):
     model.save(str(tmp_path / "m"))
     again = copula.CopulaModel.load(spark, str(tmp_path / "m"))
