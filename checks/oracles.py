@@ -460,6 +460,11 @@ ORACLES = {
     "weighted_bce": _bce(),
     "variant_report": _report(),
     "sparse_design": _sparse_design(),
+    "dictionary_labels": _with(
+        """SELECT feature, value, CASE WHEN feature <> 'AGEP' THEN feature || ', "code" ' || value WHEN value IS NULL THEN 'not known'
+        ELSE CAST(CAST(value AS INTEGER) // 10 * 10 AS VARCHAR) || ' and on' END AS label, count(*) AS n FROM long GROUP BY ALL""",
+        long=_long("sp", ["SEX", "RAC1P", "AGEP"]),
+    ),
     "lr_fit_profile": FIT_PROFILE,
     "gbt_fit_profile": FIT_PROFILE,
     "mlp_fit_profile": FIT_PROFILE,

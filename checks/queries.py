@@ -12,7 +12,7 @@ from surveyloom.functions import columns as C
 from surveyloom.operators import certificates, copula, design, features, groups, labels, metrics, models, profile
 from surveyloom.operators.sparse_design import fit_sparse
 from surveyloom.session import scratch_path, written
-from surveyloom.sources import readers, runs, writers
+from surveyloom.sources import dictionary, readers, runs, writers
 from surveyloom.spec import TableSpec
 
 RECODES = {
@@ -372,6 +372,24 @@ def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dictionary_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A data dictionary written from the table's own codes and decades, read back, and the labels of all rows by code and range."""
+    table = survey(spark, sf).select("SEX", "RAC1P", "AGEP")
+    decade = F.floor(F.col("AGEP") / 10) * 10
+    codes = [
+        table.select(F.lit(c).alias("col"), F.lit("C").alias("kind"), F.col(c).alias("low"), F.col(c).alias("high"), F.concat(F.lit(f'{c}, "code" '), c).alias("label")).distinct()
+        for c in ("SEX", "RAC1P")
+    ]
+    ages = table.where("AGEP IS NOT NULL").select(decade.alias("d")).distinct()
+    ages = ages.select(F.lit("AGEP"), F.lit("N"), F.col("d").cast("string"), (F.col("d") + 9).cast("string"), F.concat(F.col("d").cast("string"), F.lit(" and on")))
+    blank = ages.limit(1).select(F.lit("AGEP"), F.lit("N"), F.lit("bb"), F.lit("bb"), F.lit("not known"))
+    lines = codes[0].unionAll(codes[1]).unionAll(ages).unionAll(blank)
+    path = scratch_path(spark, "dictionary")
+    lines.select(F.lit("VAL"), "col", "kind", F.lit(2), "low", "high", "label").write.option("quoteAll", True).option("escape", '"').csv(path)
+    found = dictionary.label_values(table, ["SEX", "RAC1P", "AGEP"], dictionary.read_dictionary(spark, path))
+    return found.groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # profile
 
 
@@ -504,6 +522,7 @@ QUERIES = {
     "design_transform": design_transform,
     "sparse_design": sparse_design,
     "labelled_values": labelled_values,
+    "dictionary_labels": dictionary_labels,
     "describe": describe,
     "correlation_matrix": correlation_matrix,
     "unique_counts": unique_counts,

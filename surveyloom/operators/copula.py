@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,7 @@ class CopulaModel:
     intervals: DataFrame  # group, feature, value, n, lo, hi
     marginals: DataFrame  # group, feature, n, mean, sd, low, high, digits
     correlations: DataFrame  # group, x, y, r  (x < y in column order)
+    codes: dict[str, str] = field(default_factory=dict)  # categorical columns that are no text, and their type
 
     @property
     def categorical(self) -> list[str]:
@@ -53,9 +54,9 @@ class CopulaModel:
     def save(self, path: str) -> None:
         for name in ("intervals", "marginals", "correlations"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        layout = [(c, c in self.numeric, c in self.long, self.group) for c in self.columns]
+        layout = [(c, c in self.numeric, c in self.long, self.group, self.codes.get(c)) for c in self.columns]
         spark = self.intervals.sparkSession
-        spark.createDataFrame(layout, "name string, numeric boolean, long boolean, group string").withColumn(
+        spark.createDataFrame(layout, "name string, numeric boolean, long boolean, group string, code string").withColumn(
             "position", F.monotonically_increasing_id()
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
 
@@ -69,11 +70,15 @@ class CopulaModel:
             [r["name"] for r in layout if r["numeric"]],
             [r["name"] for r in layout if r["long"]],
             *tables,
+            {r["name"]: r["code"] for r in layout if r["code"]},
         )
 
 
 def category_intervals(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """``(group, feature, value, n, lo, hi)``: the part of [0, 1) that a value's share covers, most frequent first."""
+    if not columns:
+        kind = df.schema[group].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{group}` {kind}, feature string, value string, n bigint, lo double, hi double")
     counts = (
         df.select(group, F.explode(long_form(columns)).alias("cell"))
         .groupBy(group, "cell.feature", "cell.value")
@@ -99,6 +104,9 @@ def _digits(col) -> F.Column:
 def column_marginals(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """``(group, feature, n, mean, sd, low, high, digits)`` of the numeric columns; sd is that of the population."""
     fields = ("n", "mean", "sd", "low", "high", "digits")
+    if not columns:
+        kind = df.schema[group].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{group}` {kind}, feature string, n bigint, mean double, sd double, low double, high double, digits int")
     stats = []
     for i, c in enumerate(columns):
         x = quoted(c).cast("double")
@@ -186,7 +194,7 @@ def _score_stream(group: str, columns: Sequence[str], numeric: set[str]):
 
 
 def normal_scores(
-    df: DataFrame, group: str, columns: Sequence[str], intervals: DataFrame, marginals: DataFrame
+    df: DataFrame, group: str, columns: Sequence[str], intervals: DataFrame, marginals: DataFrame, categorical: Sequence[str] | None = None
 ) -> DataFrame:
     """Group and one score column ``z0, z1, …`` per input column; nulls and values that the fit has not seen score 0.
 
@@ -194,7 +202,7 @@ def normal_scores(
     its chunks ahead of the rows. A hot group has as many chunks as its rows fill half tasks. Rows are streamed; a task
     holds the vocabulary of one group.
     """
-    numeric = {c for c in columns if c in split_by_type(df)[0]}
+    numeric = {c for c in columns if (c in split_by_type(df)[0] if categorical is None else c not in categorical)}
     places = {c: i for i, c in enumerate(columns)}
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = group_chunks(df.select(group), group, tasks)
@@ -268,22 +276,29 @@ def score_correlations(scores: DataFrame, group: str, columns: Sequence[str]) ->
     return summed.select(F.col("g").alias(group), first[F.col("pair")].alias("x"), second[F.col("pair")].alias("y"), "r")
 
 
-def fit_copula(df: DataFrame, group: str, columns: Sequence[str], long: Sequence[str] = ()) -> CopulaModel:
-    """Fit one copula per group; text columns are categorical, all others numeric.
+def fit_copula(
+    df: DataFrame, group: str, columns: Sequence[str], long: Sequence[str] = (), categorical: Sequence[str] | None = None
+) -> CopulaModel:
+    """Fit one copula per group. ``categorical``: the columns of codes, whatever their type; by default the text columns. All others are numeric.
 
-    A null has the score 0, the middle of its column, so it weakens the column's correlations and changes nothing else. Nulls of a text column
-    are a category of their own; a numeric column without values in a group is drawn as null there.
+    A null has the score 0, the middle of its column, so it weakens the column's correlations and changes nothing else. Nulls of a categorical
+    column are a category of their own; a numeric column without values in a group is drawn as null there. Codes are drawn in their
+    own type.
     """
     columns = list(columns)
     types = split_by_type(df)[0]
-    numeric = [c for c in columns if c in types]
-    categorical = [c for c in columns if c not in types]
+    categorical = [c for c in columns if (c not in types if categorical is None else c in categorical)]
+    numeric = [c for c in columns if c not in categorical]
+    text = [c for c in numeric if c not in types]
+    if text:
+        raise ValueError(f"text columns cannot be numeric: {text}")
+    codes = {c: df.schema[c].dataType.simpleString() for c in categorical if not isinstance(df.schema[c].dataType, T.StringType)}
     long = [c for c in numeric if c in long or not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
     intervals = written(category_intervals(df, group, categorical), "copula-intervals", "feature")
     marginals = written(column_marginals(df, group, numeric), "copula-marginals")
-    scores = normal_scores(df, group, columns, intervals, marginals)
+    scores = normal_scores(df, group, columns, intervals, marginals, categorical)
     correlations = written(score_correlations(scores, group, columns), "copula-correlations")
-    return CopulaModel(group, columns, numeric, long, intervals, marginals, correlations)
+    return CopulaModel(group, columns, numeric, long, intervals, marginals, correlations, codes)
 
 
 def correlation_factors(model: CopulaModel) -> DataFrame:
@@ -474,4 +489,5 @@ def sample_copula(model: CopulaModel, sizes: DataFrame, seed: int, carry: Sequen
     drawn = jobs.mapInArrow(run, schema)
     for i, c in looked_up:
         drawn = _looked_up(drawn, model, counts, i, c)
-    return drawn.drop(*places)
+    drawn = drawn.drop(*places)
+    return drawn.select(*[quoted(c).cast(model.codes[c]).alias(c) if c in model.codes else quoted(c) for c in drawn.columns])

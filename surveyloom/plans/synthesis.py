@@ -62,7 +62,7 @@ def synthesise(
     training = writers.write_by_group(training, layout.training, spec.group)
     runs.record_step(layout, "training", training, layout.training)
     columns = spec.synthesised(training.columns)
-    model = copula.fit_copula(training, spec.group, columns)
+    model = copula.fit_copula(training, spec.group, columns, categorical=[c for c in columns if spec.kind_of(c) == "string"])
     present = groups.rows_per_group(training, spec.group).select(spec.group)
     totals = groups.with_group_value(present, population, spec.group, census.POPULATION)
     sizes = groups.sample_size(totals, census.POPULATION, config.rows_per_group, config.divisor)

@@ -245,3 +245,17 @@ def test_group_seed_keys_the_streams(spark):
     seed = spark.createDataFrame([("11",)], "g string").select(group_seed(42, F.col("g"))).first()[0]
     own = np.random.Generator(np.random.Philox(key=seed, counter=np.array([0, 0, 0, 5], dtype=np.uint64)))
     assert (copula._stream(42, "11", 5).random(4) == own.random(4)).all()
+
+
+def test_roles_of_columns_are_the_callers(spark, tmp_path):
+    """Integer codes as categories: only codes that occur are drawn, in their own type; by type they would be numbers."""
+    df = spark.createDataFrame([("a", (1, 5, 900)[i % 3], float(i)) for i in range(300)], "g string, code bigint, v double")
+    model = copula.fit_copula(df, "g", ["code", "v"], categorical=["code"])
+    assert model.categorical == ["code"] and model.numeric == ["v"]
+    model.save(str(tmp_path / "m"))
+    for m in (model, copula.CopulaModel.load(spark, str(tmp_path / "m"))):
+        drawn = copula.sample_copula(m, spark.createDataFrame([("a", 200)], "g string, n bigint"), 4)
+        assert drawn.schema["code"].dataType.simpleString() == "bigint" and {r["code"] for r in drawn.collect()} == {1, 5, 900}
+    assert copula.fit_copula(df, "g", ["code", "v"]).numeric == ["code", "v"]
+    with pytest.raises(ValueError, match="numeric"):
+        copula.fit_copula(df.withColumn("v", F.col("v").cast("string")), "g", ["code", "v"], categorical=["code"])
