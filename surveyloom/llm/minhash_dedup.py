@@ -33,7 +33,8 @@ class Settings:
     """48 bands of 5 bins miss a pair of similarity 0.75 with probability 2·10^-6, and 0.85 with 10^-12.
 
     A pair goes on if its sketches agree in at least the number of bins that a pair at the threshold has in expectation, less
-    ``deviations`` standard deviations; 4.8 loses such a pair with probability 10^-6.
+    ``deviations`` standard deviations; 4.8 loses such a pair with probability 10^-6. Only the bins that a set fills are
+    independent, so the deviation grows as sets get shorter, and the shortest are never ruled out.
     """
 
     shingle: int = 5
@@ -47,10 +48,11 @@ class Settings:
     def bins(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def least_agreement(self) -> int:
+    def least_agreement(self, n: Column) -> Column:
+        """Bins in which the sketches of two sets must agree, the smaller of which has ``n`` shingles."""
         agree = self.percent / 100 + (1 - self.percent / 100) / 16
-        return int(self.bins * agree - self.deviations * (self.bins * agree * (1 - agree)) ** 0.5)
+        filled = F.lit(float(self.bins)) * (F.lit(1.0) - F.exp(-n / F.lit(float(self.bins))))
+        return F.lit(self.bins * agree) - F.lit(self.deviations * self.bins * (agree * (1 - agree)) ** 0.5) / F.sqrt(filled)
 
 
 def probe_order(bins: int) -> np.ndarray:
@@ -179,7 +181,7 @@ def candidates(members: DataFrame, sketches: DataFrame, slots: int | None, setti
     slot = F.col("node") if slots is None else F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
     first = slots == 1
     if not first:
-        members = members.join(sketches, "node")
+        members = members.join(sketches.drop("sketch_n"), "node")
     extra = [] if first else ["sketch"]
     best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "component", *extra)).alias("best")
     centres = members.groupBy("bucket", slot.alias("slot")).agg(best).select(
@@ -193,11 +195,12 @@ def candidates(members: DataFrame, sketches: DataFrame, slots: int | None, setti
     same &= F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * settings.percent
     same &= F.col("component") != F.col("centre_component")
     if not first:
-        same &= agreement("sketch", "centre_sketch", settings.bins) >= settings.least_agreement
+        same &= agreement("sketch", "centre_sketch", settings.bins) >= settings.least_agreement(F.least("n", "centre_n"))
     pairs = members.join(centres, same).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     if first:
-        pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-        pairs = pairs.where(agreement("sketch_a", "sketch_b", settings.bins) >= settings.least_agreement).select("a", "b").distinct()
+        pairs = pairs.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b")
+        enough = agreement("sketch_a", "sketch_b", settings.bins) >= settings.least_agreement(F.least("n_a", "n_b"))
+        pairs = pairs.where(enough).select("a", "b").distinct()
     return pairs
 
 
@@ -239,7 +242,8 @@ def _all_components(docs: DataFrame, full: DataFrame, classes: DataFrame, links:
     members = scratch.write(sized.drop("size").join(weights, ["node", "n"]), "members")
     texts = docs.join(weights.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
     texts = scratch.write(texts, "texts")
-    sketches = scratch.write(signed.select("node", "sketch").join(weights.select("node").distinct(), "node"), "sketches")
+    sketches = signed.select("node", "sketch", F.col("n_shingles").alias("sketch_n"))
+    sketches = scratch.write(sketches.join(weights.select("node").distinct(), "node"), "sketches")
     labelled = members.withColumn("component", F.col("node"))
     done = None
     slots: int | None = 1
