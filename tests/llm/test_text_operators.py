@@ -558,6 +558,28 @@ def test_passages_star_and_edges(spark, edges, nothing, rows):
     assert rows(passages.repeated_passages(nothing)) == []
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """One id holds a long, a short, an empty and a null text, and another long one; ids of equal rows count once."""
+    passage = sentence(78, 70)
+    long, other = f"{sentence(401, 90)} {passage} {sentence(402, 40)}", f"{sentence(403, 30)} {passage}"
+    table = [(5, long), (5, "a b"), (5, None), (5, ""), (5, other), (9, passage), (9, passage), (None, passage), (2, sentence(404, 80))]
+    got = passages.repeated_passages(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["ref_id"]) for r in got} <= {(5, 5), (9, 5)} and {r["doc_id"] for r in got} == {5, 9}
+    for r in got:
+        spans = {90: 160, 30: 100, 0: 70}
+        assert spans[r["start"]] == r["end"] and spans[r["ref_start"]] == r["ref_end"]
+
+
+def test_short_sets_at_the_threshold_are_linked(spark):
+    """Pairs with 3 of 4 shingles in common: exactly at the threshold, and so few that their sketches agree by chance only."""
+    table = []
+    for i in range(300):
+        words = sentence(20_000 + i, 8).split()
+        table += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:7]))]
+    got = near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i - i % 2) for i in range(600)}
+
+
 def test_passages_of_families_with_variants_below_the_threshold(spark):
     """Two exact copies in the largest ids of each family; the smaller ids hold variants that no passage confirms."""
     draw, table, copies = np.random.default_rng(6), [], set()
