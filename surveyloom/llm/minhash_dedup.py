@@ -7,9 +7,9 @@ documents with probability equal to their similarity.
 
 Documents with equal sets are one class and only its smallest id goes on. In each bucket the member that shares most
 buckets with others is the centre, and the others are compared with it only: a bucket of m members gives m - 1 candidates.
-Candidates are confirmed on full shingle sets. Buckets whose members are still in several components go to further rounds
-with more centres, until each of their members has been compared with every member of other components, so
-a star loses no link that the buckets hold. Before a text is read, a sketch of four bits per bin (Li, König, "b-Bit
+Candidates are confirmed on full shingle sets. Members of buckets that still hold several components are then joined exactly, by an
+index of the rarest shingles of their full sets, so a star loses no link that the buckets hold; texts of one template below the
+threshold meet neither there nor on the way. Before a text is read, a sketch of four bits per bin (Li, König, "b-Bit
 Minwise Hashing", WWW 2010) rules out pairs whose similarity is far below the threshold.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.llm import text as T
@@ -171,37 +171,87 @@ def confirm(settings: Settings):
     return run
 
 
-def candidates(members: DataFrame, sketches: DataFrame, slots: int | None, settings: Settings) -> DataFrame:
-    """Pairs of a bucket's centres with its members in other components, each pair once, if sizes and sketches allow it.
+def candidates(members: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of a bucket's centre, its heaviest member, with its other members, each pair once, if sizes and sketches allow it.
 
-    ``members (bucket, node, weight, n, component)``. ``slots``: so many centres at most per bucket, the heaviest member of
-    each slot; None makes every member a centre. The first round pairs nearly all buckets, so it fetches the sketches
-    for the distinct pairs; later rounds test them inside the join of the few buckets left.
+    ``members (bucket, node, weight, n)``.
     """
-    slot = F.col("node") if slots is None else F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-    first = slots == 1
-    if not first:
-        members = members.join(sketches.drop("sketch_n"), "node")
-    extra = [] if first else ["sketch"]
-    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n", "component", *extra)).alias("best")
-    centres = members.groupBy("bucket", slot.alias("slot")).agg(best).select(
-        F.col("bucket").alias("of"),
-        (-F.col("best.minus")).alias("centre"),
-        F.col("best.n").alias("centre_n"),
-        F.col("best.component").alias("centre_component"),
-        *[F.col(f"best.{c}").alias(f"centre_{c}") for c in extra],
+    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n")).alias("best")
+    centres = members.groupBy("bucket").agg(best)
+    centres = centres.select(F.col("bucket").alias("of"), (-F.col("best.minus")).alias("centre"), F.col("best.n").alias("centre_n"))
+    near = (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("centre"))
+    near &= F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * settings.percent
+    pairs = members.join(centres, near).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return _alike(pairs.distinct(), sketches, settings)
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs that their sketches do not rule out."""
+    pairs = pairs.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b")
+    enough = agreement("sketch_a", "sketch_b", settings.bins) >= settings.least_agreement(F.least("n_a", "n_b"))
+    return pairs.where(enough).select("a", "b").distinct()
+
+
+def shingle_rows(settings: Settings):
+    """``node, of, n, shingle``: the shingles of each text; ``of`` tells the texts of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, grams in zip(batch.column("doc_id"), text_sets(batch.column("text"), settings.shingle)):
+                n = len(grams)
+                columns = [
+                    pa.repeat(node, n),
+                    pa.array(T.signed(np.full(n, grams.sum(dtype=np.uint64)))),
+                    pa.array(np.full(n, n, dtype=np.int64)),
+                    pa.array(T.signed(grams)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "of", "n", "shingle"])
+
+    return run
+
+
+def prefix_index(texts: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
+    """``bucket, node, n, rank, indexed``: the rarest shingles of each text, as many as a partner at the threshold cannot avoid.
+
+    Shingles of a set are ranked by how many of the texts hold them, rarest first (Xiao et al., "Efficient Similarity Joins for
+    Near Duplicate Detection", WWW 2008). Two sets of the least similarity share a shingle among the first n - ceil(3n/4) + 1 of the
+    larger one and the first n - ceil(6n/7) + 1 (``indexed``) of the other, for any threshold likewise. Shingles of a template
+    are frequent, so they are among these only where the template is nearly the whole text.
+    """
+    rows = scratch.write(texts.mapInArrow(shingle_rows(settings), "node bigint, of bigint, n bigint, shingle bigint"), "shingles")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"))
+    in_order = Window.partitionBy("node", "of").orderBy("texts", "shingle")
+    ranked = rows.join(counts, "shingle").withColumn("rank", F.row_number().over(in_order))
+    p, n = settings.percent, F.col("n")
+    probe = n - F.ceil(n * p / 100) + 1
+    indexed = n - F.ceil(n * (2 * p) / (100 + p)) + 1
+    ranked = ranked.where((F.col("rank") <= probe) & (F.col("texts") > 1))
+    return ranked.select(F.col("shingle").alias("bucket"), "node", "n", "rank", (F.col("rank") <= indexed).alias("indexed"))
+
+
+def prefix_candidates(members: DataFrame, slots: int | None, settings: Settings) -> DataFrame:
+    """Pairs in different components that meet in a bucket of the prefix index, each pair once.
+
+    ``slots``: each bucket has so many centres at most, one of each slot, and the others are compared with them; None compares all. A
+    pair goes on if the shingles left after the common one can still reach the threshold, which they can at the first common one.
+    """
+    columns = ["bucket", "node", "n", "rank", "indexed", "component"]
+    centres = members.select(*columns)
+    if slots is not None:
+        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
+        best = F.min(F.struct(*columns[1:])).alias("best")
+        centres = centres.groupBy("bucket", slot.alias("slot")).agg(best).select("bucket", "best.*")
+    centres = centres.toDF(*[f"c_{c}" for c in columns])
+    small, large, p = F.least("n", "c_n"), F.greatest("n", "c_n"), settings.percent
+    left = F.least(F.col("n") - F.col("rank"), F.col("c_n") - F.col("c_rank")) + 1
+    near = (F.col("bucket") == F.col("c_bucket")) & (F.col("component") != F.col("c_component"))
+    near &= (small * 100 >= large * p) & (left * (100 + p) >= (small + large) * p)
+    near &= F.when(F.col("n") < F.col("c_n"), F.col("indexed")).when(F.col("n") > F.col("c_n"), F.col("c_indexed")).otherwise(
+        F.col("indexed") | F.col("c_indexed")
     )
-    same = F.col("bucket") == F.col("of")
-    same &= F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * settings.percent
-    same &= F.col("component") != F.col("centre_component")
-    if not first:
-        same &= agreement("sketch", "centre_sketch", settings.bins) >= settings.least_agreement(F.least("n", "centre_n"))
-    pairs = members.join(centres, same).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    if first:
-        pairs = pairs.join(sketches.toDF("a", "sketch_a", "n_a"), "a").join(sketches.toDF("b", "sketch_b", "n_b"), "b")
-        enough = agreement("sketch_a", "sketch_b", settings.bins) >= settings.least_agreement(F.least("n_a", "n_b"))
-        pairs = pairs.where(enough).select("a", "b").distinct()
-    return pairs
+    if slots is None:
+        near &= F.col("node") < F.col("c_node")
+    return members.join(centres, near).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -244,29 +294,49 @@ def _all_components(docs: DataFrame, full: DataFrame, classes: DataFrame, links:
     texts = scratch.write(texts, "texts")
     sketches = signed.select("node", "sketch", F.col("n_shingles").alias("sketch_n"))
     sketches = scratch.write(sketches.join(weights.select("node").distinct(), "node"), "sketches")
-    labelled = members.withColumn("component", F.col("node"))
-    done = None
-    slots: int | None = 1
+    checked = _checked(scratch.write(candidates(members, sketches, settings), "pairs"), texts, scratch, settings)
+    links = links.union(_confirmed(checked))
+    found = components(links, scratch)
+    now = _labelled(members, found)
+    unsettled = _unsettled(now).where("size > 2")  # of two members both were compared
+    open_ = scratch.write(now.join(unsettled, "bucket", "left_semi").select("node").distinct(), "unsettled")
+    if open_.isEmpty():
+        return found
+    own = texts.join(open_.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    index = scratch.write(prefix_index(own, scratch, settings), "prefixes")
+    done = checked.select("a", "b")
+    slots: int | None = settings.growth
     while True:
-        pairs = candidates(labelled, sketches, slots, settings)
-        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-        checked = _checked(scratch.write(pairs, "pairs"), texts, scratch, settings)
-        good = checked.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
-        links = links.union(good)
-        if slots is None:
-            return components(links, scratch)
-        # Between rounds an unsettled component only means that more pairs are compared.
-        result = components(links, scratch, rounds=1)
-        now = labelled.drop("component").join(result.withColumnRenamed("component", "found"), "node", "left")
-        now = now.withColumn("component", F.coalesce("found", "node")).drop("found")
-        ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
-        unsettled = now.groupBy("bucket").agg(*ends).where("low != high and size > 2")
+        now = _labelled(index, found)
+        unsettled = scratch.write(_unsettled(now), "unsettled")
         largest = unsettled.agg(F.max("size")).first()[0]
         if largest is None:
-            return components(links, scratch)
-        labelled = scratch.write(now.join(unsettled.select("bucket"), "bucket"), "members")
-        slots = slots * settings.growth if slots * settings.growth < largest else None
+            return found
+        slots = slots if slots is not None and slots < largest else None
+        now = now.join(unsettled.select("bucket"), "bucket", "left_semi")
+        pairs = prefix_candidates(now, slots, settings).join(done, ["a", "b"], "left_anti")
+        pairs = _alike(scratch.write(pairs, "prefix-pairs"), sketches, settings)
+        checked = _checked(scratch.write(pairs, "pairs"), texts, scratch, settings)
+        links = links.union(_confirmed(checked))
+        found = components(links, scratch)
+        if slots is None:
+            return found
+        done = done.union(checked.select("a", "b"))
+        slots *= settings.growth
+
+
+def _confirmed(checked: DataFrame) -> DataFrame:
+    return checked.where("good").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Buckets whose members are in several components."""
+    ends = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")]
+    return members.groupBy("bucket").agg(*ends).where("low != high")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:

@@ -226,6 +226,31 @@ def test_near_duplicates_of_a_hub(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
 
 
+def test_texts_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    """2,000 texts of one template, all at a similarity of 0.64 and so in each other's buckets; 40 have a near copy at 0.75 to 0.8."""
+    from surveyloom.llm import minhash_dedup
+
+    template, table = sentence(60, 100), []
+    for i in range(2000):
+        table.append((i, f"{template} {' '.join(f'own{i}x{k}' for k in range(27))}"))
+    for i in range(40):
+        words = table[i * 7][1].split()
+        table.append((5000 + i, " ".join(words[: 118 - i % 3] + [f"other{i}x{k}" for k in range(9)])))
+    compared, checked = [], minhash_dedup._checked
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "_checked", counting)
+    got = near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(8)).collect()
+    sets = {i: shingle_set(t) for i, t in table}
+    expected = {i: (len(s), (i - 5000) * 7 if i >= 5000 else i) for i, s in sets.items()}
+    assert all(0.75 <= len(sets[i] & sets[c]) / len(sets[i] | sets[c]) < 0.85 for i, (_, c) in expected.items() if i != c)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert len(compared) > 1 and sum(compared[1:]) < len(table) and sum(compared) < 20 * len(table)
+
+
 def test_near_duplicates_edges(edges, nothing, rows):
     got = rows(near_duplicates(edges))
     assert len(got) == len(edge_rows())
