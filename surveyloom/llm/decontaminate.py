@@ -6,9 +6,10 @@ placeholder. A window match names an alignment (document, item, shift between po
 consistent: each benchmark value stands for one value of the document; windows where it does not are not counted unless they hold
 the benchmark's own values. The original has the same values, a re-parameterised question others.
 
-Only windows whose hash passes a bitmap of the benchmark's hashes leave the scan. The bitmap has a size that is fixed by the
-number of benchmark windows, within the stated limits, so what reaches every task is bounded; a larger benchmark makes it less selective,
-never wrong.
+First the forms are made as texts in generated code, for all documents; only windows whose hash passes a bitmap of the benchmark's hashes leave
+the scan, and documents that hold too few windows of every item are done. The bitmap has a size that is fixed by the number of benchmark
+windows, within the stated limits, so what reaches every task is bounded; a larger benchmark makes it less selective, never wrong.
+Places and slots are worked out for the documents that are left.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ UNITS = [
 ]
 
 NUMBER, NAME, UNIT, END = "#n", "#name", "#unit", "#end"
+CAPITAL = r"[\p{Lu}\p{Lt}]"
+UNIT_WORD = f"(?i:{'|'.join(UNITS)})"
 
 
 @dataclass(frozen=True)
@@ -60,10 +63,9 @@ def canonical(tokens: Column) -> Column:
 
     def form(pair: Column) -> Column:
         token, last = pair["token"], pair["last"]
-        first, low = F.substring(token, 1, 1), F.lower(token)
-        end, capital = token.isin(ENDS), first != F.lower(first)
-        fixed = F.when(end, F.lit(END)).when(first.rlike(r"\p{N}"), F.lit(NUMBER))
-        fixed = fixed.when(F.substring(last, 1, 1).rlike(r"\p{N}") & low.isin(UNITS), F.lit(UNIT))
+        low, end, capital = F.lower(token), token.isin(ENDS), token.rlike(f"^{CAPITAL}")
+        fixed = F.when(end, F.lit(END)).when(token.rlike(r"^\p{N}"), F.lit(NUMBER))
+        fixed = fixed.when(last.rlike(r"^\p{N}") & token.rlike(f"^{UNIT_WORD}$"), F.lit(UNIT))
         return F.struct(
             token.alias("raw"),
             fixed.when(capital & ~last.isin(ENDS), F.lit(NAME)).otherwise(low).alias("a"),
@@ -137,12 +139,67 @@ def benchmark_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
     return rows.select("item_id", "at", "hash", _slots(F.col("w")).alias("slots"), main.alias("main")).distinct()
 
 
-def hash_bitmap(windows: DataFrame, n_windows: int, settings: Settings) -> DataFrame:
-    """One row with one array of 64-bit words in which the bit of every hash is set."""
+def form_texts(df: DataFrame, key: str) -> DataFrame:
+    """``key, form``: a row for each of the three forms of a text, its canonical tokens with a blank between two.
+
+    The same tokens as in the arrays of ``_prepared``, made by replacements in the whole text, which run in generated code; lambdas over
+    arrays do not. Each step is used more than once by the next, so the optimiser keeps them apart.
+    """
+
+    def replaced(text: Column, pattern: str, by: str) -> Column:
+        return F.regexp_replace(text, F.lit(pattern), F.lit(by))
+
+    def without_ends(text: Column) -> Column:
+        return F.rtrim(F.lower(replaced(text, r"[.!?\n](?: |$)", "")))
+
+    df = df.select(key, F.concat(F.lit("\n "), F.concat_ws(" ", tokens_of(F.col("text")))).alias("plain"))
+    typed = replaced(replaced(F.col("plain"), r" \p{N}[^ ]*", f" {NUMBER}"), f" {NUMBER} {UNIT_WORD}(?= |$)", f" {NUMBER} {UNIT}")
+    df = df.select(key, "plain", typed.alias("typed"))
+    names = [replaced(F.col("typed"), f" {after}{CAPITAL}[^ ]*", f" {NAME}") for after in (r"(?<=[^.!?\n] )", "")]
+    forms = [without_ends(replaced(n, f"{NAME}(?: {NAME})+", NAME)) for n in names]
+    return df.select(key, F.explode_outer(F.array(*forms, without_ends(F.col("plain")))).alias("form"))
+
+
+def form_windows(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``key, k, w0, w1, ...``: the windows of each form of each text; missing tokens of a text shorter than a window are null."""
+    df = form_texts(df, key).select(key, F.when(F.col("form") != "", F.split("form", " ")).alias("t"))
+    df = df.select(key, "t", F.greatest(F.size("t") - (size - 1), F.lit(1)).alias("n"))
+    places = F.arrays_zip(*[F.slice("t", i + 1, F.col("n")).alias(f"w{i}") for i in range(size)])
+    return df.select(key, F.posexplode_outer(places).alias("k", "w")).select(key, "k", "w.*").where(F.col("w0").isNotNull())
+
+
+def likely(own: DataFrame, items: DataFrame, sizes: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
+    """``doc_id`` of the documents that hold as many windows of some item, in any places, as the coverage asks for at least.
+
+    No document with a result is left out: a window of an item that counts is also equal in the form's text.
+    """
+    tokens = [F.col(f"w{i}") for i in range(settings.window)]
+    literal = sum((F.coalesce(~t.startswith("#"), F.lit(False)).cast("int") for t in tokens), F.lit(0))
+    filled = sum((t.isNotNull().cast("int") for t in tokens), F.lit(0))
+    hashed = F.xxhash64(*tokens).alias("hash")
+    rows = items.select(F.struct("item_id", F.xxhash64("text").alias("row")).alias("item"), "text")
+    wanted = form_windows(rows, "item", settings.window).where(literal >= F.least(F.lit(settings.literals), filled))
+    wanted = scratch.write(wanted.select("item.*", "k", hashed).distinct(), "benchmark-forms")
+    words = bitmap_words(wanted.count(), settings)
+    bitmap = scratch.write(hash_bitmap(wanted, words), "benchmark-bitmap")
+    word = F.get(bitmap.scalar(), F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(words - 1)).cast("int"))
+    hits = form_windows(own, "doc_id", settings.window).select("doc_id", hashed)
+    hits = hits.where(F.getbit(word, F.col("hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    found = hits.join(wanted, "hash").groupBy("doc_id", "item_id").agg(F.count_distinct("row", "k", "hash").alias("n"))
+    least = F.least(F.when(F.col("n_main") > 0, F.col("n_main")), "n_all") * settings.coverage
+    found = found.join(sizes, "item_id").where(F.col("n") >= least)
+    return scratch.write(found.select("doc_id").distinct(), "likely")
+
+
+def bitmap_words(n_windows: int, settings: Settings) -> int:
     bits = settings.least_bits
     while bits < min(64 * n_windows, settings.most_bits):
         bits *= 2
-    words = bits // 64
+    return bits // 64
+
+
+def hash_bitmap(windows: DataFrame, words: int) -> DataFrame:
+    """One row with one array of 64-bit words in which the bit of every hash is set."""
     word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(words - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("hash").bitwiseAND(F.lit(63)).cast("int"))
     set_ = windows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
@@ -151,16 +208,6 @@ def hash_bitmap(windows: DataFrame, n_windows: int, settings: Settings) -> DataF
     return every.agg(ordered["bits"].alias("bitmap"))
 
 
-def _passing(windows: Column) -> Column:
-    """Windows whose bit is set; ``size(bitmap)`` is a power of two."""
-
-    def test(h: Column) -> Column:
-        word = F.get(F.col("bitmap"), F.shiftrightunsigned(h, 6).bitwiseAND(F.size("bitmap") - 1).cast("int"))
-        return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    return F.filter(windows, lambda w: test(w["hash"]))
-
-
 def _matched(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Windows of an item that count in each scope of a document: ``doc_id, item_id, kind, place, item_at, main, values``.
 
@@ -197,11 +244,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         wanted = scratch.write(benchmark_windows(items.where(F.col("item_id").isNotNull()), settings), "benchmark-windows")
         count = [F.count_distinct(F.when(F.col("main"), F.col("at"))).alias("n_main"), F.count_distinct("at").alias("n_all")]
         sizes = scratch.write(wanted.groupBy("item_id").agg(*count), "benchmark-sizes")
-        bitmap = scratch.write(hash_bitmap(wanted, wanted.count(), settings), "benchmark-bitmap")
         own = documents(docs, text, key).where(F.col("doc_id").isNotNull())
-        ready = _prepared(own, "doc_id").withColumn("bitmap", bitmap.scalar())
-        passing = F.concat(*[_passing(_window_hashes(form, settings.window)) for form in FORMS])
-        hits = ready.select("doc_id", *FORMS, F.inline_outer(passing)).where(F.col("hash").isNotNull())
+        own = own.join(likely(own, items.where(F.col("item_id").isNotNull()), sizes, scratch, settings), "doc_id", "left_semi")
+        every = F.concat(*[_window_hashes(form, settings.window) for form in FORMS])
+        hits = _prepared(own, "doc_id").select("doc_id", *FORMS, F.inline_outer(every)).where(F.col("hash").isNotNull())
         hits = hits.select("doc_id", "at", "hash", _slots(_window(settings.window)).alias("own"))
         pairs = hits.join(wanted.withColumnRenamed("at", "item_at"), "hash").where(F.size("own") == F.size("slots"))
         pairs = pairs.select("doc_id", "item_id", "item_at", "main", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("slots", "own").alias("values"))
