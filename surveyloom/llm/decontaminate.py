@@ -80,17 +80,17 @@ def canonical(tokens: Column) -> Column:
 FORMS = ("a", "b", "c")
 
 
-def _prepared(df: DataFrame, key: str) -> DataFrame:
-    """``key`` and for each form an array of structs ``at, raw, kind, hash``: tokens without sentence ends; a run of names is one token.
+def _prepared(df: DataFrame, *key: str) -> DataFrame:
+    """The key columns and for each form an array of structs ``at, raw, kind, hash``: tokens without sentence ends; a run of names is one token.
 
     ``at`` counts the tokens before runs are joined. Each array is used more than once by the next step, so the optimiser keeps
     the steps apart. No filter stands above them: it would be pushed through with the whole computation copied into it.
     """
-    df = df.select(key, tokens_of(F.col("text")).alias("tokens"))
-    df = df.select(key, canonical(F.col("tokens")).alias("t"))
+    df = df.select(*key, tokens_of(F.col("text")).alias("tokens"))
+    df = df.select(*key, canonical(F.col("tokens")).alias("t"))
     before = F.concat(F.array(F.lit(END)), F.col("t.a")), F.concat(F.array(F.lit(END)), F.col("t.b"))
-    df = df.select(key, F.arrays_zip("t", before[0].alias("la"), before[1].alias("lb")).alias("z"))
-    df = df.select(key, F.filter("z", lambda z: z["t"].isNotNull() & (z["t"]["c"] != END)).alias("z"))
+    df = df.select(*key, F.arrays_zip("t", before[0].alias("la"), before[1].alias("lb")).alias("z"))
+    df = df.select(*key, F.filter("z", lambda z: z["t"].isNotNull() & (z["t"]["c"] != END)).alias("z"))
 
     def one(form: str) -> Column:
         last = f"l{form}"
@@ -100,7 +100,7 @@ def _prepared(df: DataFrame, key: str) -> DataFrame:
         ))
         return F.filter(every, lambda x: ~x["more"]).alias(form)
 
-    return df.select(key, *[one(form) for form in FORMS])
+    return df.select(*key, *[one(form) for form in FORMS])
 
 
 def _window_hashes(form: str, size: int) -> Column:
@@ -140,7 +140,7 @@ def benchmark_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
 
 
 def form_texts(df: DataFrame, key: str) -> DataFrame:
-    """``key, form``: a row for each of the three forms of a text, its canonical tokens with a blank between two.
+    """``key, f, form``: a row for each of the three forms of a text, its number and its canonical tokens with a blank between two.
 
     The same tokens as in the arrays of ``_prepared``, made by replacements in the whole text, which run in generated code; lambdas over
     arrays do not. Each step is used more than once by the next, so the optimiser keeps them apart.
@@ -157,21 +157,21 @@ def form_texts(df: DataFrame, key: str) -> DataFrame:
     df = df.select(key, "plain", typed.alias("typed"))
     names = [replaced(F.col("typed"), f" {after}{CAPITAL}[^ ]*", f" {NAME}") for after in (r"(?<=[^.!?\n] )", "")]
     forms = [without_ends(replaced(n, f"{NAME}(?: {NAME})+", NAME)) for n in names]
-    return df.select(key, F.explode_outer(F.array(*forms, without_ends(F.col("plain")))).alias("form"))
+    return df.select(key, F.posexplode_outer(F.array(*forms, without_ends(F.col("plain")))).alias("f", "form"))
 
 
 def form_windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``key, k, w0, w1, ...``: the windows of each form of each text; missing tokens of a text shorter than a window are null."""
-    df = form_texts(df, key).select(key, F.when(F.col("form") != "", F.split("form", " ")).alias("t"))
-    df = df.select(key, "t", F.greatest(F.size("t") - (size - 1), F.lit(1)).alias("n"))
+    """``key, f, k, w0, w1, ...``: the windows of each form of each text; missing tokens of a text shorter than a window are null."""
+    df = form_texts(df, key).select(key, "f", F.when(F.col("form") != "", F.split("form", " ")).alias("t"))
+    df = df.select(key, "f", "t", F.greatest(F.size("t") - (size - 1), F.lit(1)).alias("n"))
     places = F.arrays_zip(*[F.slice("t", i + 1, F.col("n")).alias(f"w{i}") for i in range(size)])
-    return df.select(key, F.posexplode_outer(places).alias("k", "w")).select(key, "k", "w.*").where(F.col("w0").isNotNull())
+    return df.select(key, "f", F.posexplode_outer(places).alias("k", "w")).select(key, "f", "k", "w.*").where(F.col("w0").isNotNull())
 
 
 def likely(own: DataFrame, items: DataFrame, sizes: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
-    """``doc_id`` of the documents that hold as many windows of some item, in any places, as the coverage asks for at least.
+    """``doc_id, spots`` of the documents that hold as many windows of some item, in any places, as the coverage asks for at least.
 
-    No document with a result is left out: a window of an item that counts is also equal in the form's text.
+    ``spots``: form and place of each window that is also one of the benchmark's. No document with a result is left out: a window of an item that counts is also equal in the form's text.
     """
     tokens = [F.col(f"w{i}") for i in range(settings.window)]
     literal = sum((F.coalesce(~t.startswith("#"), F.lit(False)).cast("int") for t in tokens), F.lit(0))
@@ -179,16 +179,19 @@ def likely(own: DataFrame, items: DataFrame, sizes: DataFrame, scratch: Scratch,
     hashed = F.xxhash64(*tokens).alias("hash")
     rows = items.select(F.struct("item_id", F.xxhash64("text").alias("row")).alias("item"), "text")
     wanted = form_windows(rows, "item", settings.window).where(literal >= F.least(F.lit(settings.literals), filled))
-    wanted = scratch.write(wanted.select("item.*", "k", hashed).distinct(), "benchmark-forms")
+    wanted = scratch.write(wanted.select("item.*", "f", "k", hashed).distinct(), "benchmark-forms")
     words = bitmap_words(wanted.count(), settings)
     bitmap = scratch.write(hash_bitmap(wanted, words), "benchmark-bitmap")
     word = F.get(bitmap.scalar(), F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(words - 1)).cast("int"))
-    hits = form_windows(own, "doc_id", settings.window).select("doc_id", hashed)
+    hits = form_windows(own, "doc_id", settings.window).select("doc_id", "f", "k", hashed)
     hits = hits.where(F.getbit(word, F.col("hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
-    found = hits.join(wanted, "hash").groupBy("doc_id", "item_id").agg(F.count_distinct("row", "k", "hash").alias("n"))
+    hits = scratch.write(hits.join(wanted.select("hash").distinct(), "hash"), "form-matches")
+    found = hits.select("doc_id", "hash").distinct().join(wanted, "hash")
+    found = found.groupBy("doc_id", "item_id").agg(F.count_distinct("row", "f", "k", "hash").alias("n"))
     least = F.least(F.when(F.col("n_main") > 0, F.col("n_main")), "n_all") * settings.coverage
     found = found.join(sizes, "item_id").where(F.col("n") >= least)
-    return scratch.write(found.select("doc_id").distinct(), "likely")
+    hits = hits.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return scratch.write(hits.groupBy("doc_id").agg(F.collect_set(F.struct("f", "k")).alias("spots")), "likely")
 
 
 def bitmap_words(n_windows: int, settings: Settings) -> int:
@@ -245,10 +248,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         count = [F.count_distinct(F.when(F.col("main"), F.col("at"))).alias("n_main"), F.count_distinct("at").alias("n_all")]
         sizes = scratch.write(wanted.groupBy("item_id").agg(*count), "benchmark-sizes")
         own = documents(docs, text, key).where(F.col("doc_id").isNotNull())
-        own = own.join(likely(own, items.where(F.col("item_id").isNotNull()), sizes, scratch, settings), "doc_id", "left_semi")
-        every = F.concat(*[_window_hashes(form, settings.window) for form in FORMS])
-        hits = _prepared(own, "doc_id").select("doc_id", *FORMS, F.inline_outer(every)).where(F.col("hash").isNotNull())
-        hits = hits.select("doc_id", "at", "hash", _slots(_window(settings.window)).alias("own"))
+        own = own.join(likely(own, items.where(F.col("item_id").isNotNull()), sizes, scratch, settings), "doc_id")
+        hits = _prepared(own, "doc_id", "spots").select("doc_id", *FORMS, F.explode_outer("spots").alias("spot"))
+        name = F.get(F.array(*[F.lit(form) for form in FORMS]), F.col("spot.f"))
+        hits = hits.select("doc_id", *FORMS, name.alias("form"), F.col("spot.k").alias("k")).select("doc_id", _window(settings.window).alias("w"))
+        hashed = F.xxhash64(*[F.get("w", F.lit(n))["hash"] for n in range(settings.window)])
+        hits = hits.where(F.size("w") > 0).select("doc_id", F.get("w", F.lit(0))["at"].alias("at"), hashed.alias("hash"), _slots(F.col("w")).alias("own"))
         pairs = hits.join(wanted.withColumnRenamed("at", "item_at"), "hash").where(F.size("own") == F.size("slots"))
         pairs = pairs.select("doc_id", "item_id", "item_at", "main", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("slots", "own").alias("values"))
         pairs = scratch.write(pairs.distinct(), "window-matches")
