@@ -61,8 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
+        before: list[str] = []
         for name, stage in STAGES[:-1]:
             docs = scratch.write(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            scratch.settle(*before)  # nothing reads a stage's input any more
+            before = [f"pipeline-{name}"]
         return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
 
 
