@@ -621,6 +621,49 @@ def test_passages_of_families_with_variants_below_the_threshold(spark):
     assert copies == {(r["doc_id"], r["ref_id"]) for r in got}
 
 
+def near_passages(n, seed):
+    """Pairs of documents (2 i, 2 i + 1) around a passage and an edited form of it, with the similarity of both, at the threshold or above."""
+    draw, table, pairs = np.random.default_rng(seed), [], {}
+    while len(pairs) < n:
+        at = 2 * len(pairs)
+        one = sentence(int(draw.integers(1 << 40)), int(draw.integers(52, 110))).split()
+        other = list(one)
+        for _ in range(int(draw.integers(1, 5))):
+            k, word = int(draw.integers(len(other))), f"new{draw.integers(1 << 40)}"
+            other[k : k + int(draw.integers(2))] = [word] * int(draw.integers(2))
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(other))
+        if min(len(one), len(other)) < 50 or 100 * len(a & b) < 75 * len(a | b):
+            continue
+        around = [sentence(int(draw.integers(1 << 40)), int(draw.integers(20, 80))) for _ in range(4)]
+        table += [(at, f"{around[0]} {' '.join(one)} {around[1]}"), (at + 1, f"{around[2]} {' '.join(other)} {around[3]}")]
+        pairs[at + 1, at] = len(a & b) / len(a | b)
+    return table, pairs
+
+
+def test_near_passages_are_found(spark):
+    """All planted near passages, also just above the threshold, against the sets of the passages themselves."""
+    table, pairs = near_passages(200, 12)
+    got = {(r["doc_id"], r["ref_id"]) for r in passages.repeated_passages(spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got <= set(pairs)
+    for low, high in ((0.75, 0.85), (0.85, 1.01)):
+        planted = {p for p, s in pairs.items() if low <= s < high}
+        assert len(planted) >= 50 and len(planted & got) >= 0.97 * len(planted)
+
+
+def test_grown_ranges_equal_brute_force():
+    """The best range around a place with the least length, against all ranges."""
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        flags, least = draw.random(int(draw.integers(8, 40))) < 0.8, 8
+        at = int(draw.integers(len(flags)))
+        gains = np.where(flags, 15, -85)
+        every = [(int(gains[a:b].sum()), b - a, -a) for a in range(at + 1) for b in range(at + 1, len(flags) + 1)]
+        free = max(every)
+        best = free if free[1] >= least else max(e for e in every if e[1] >= least)
+        a, b = passages.grow(passages.balances(flags, 85.0), at, least)
+        assert a <= at < b and b - a >= least and int(gains[a:b].sum()) == best[0]
+
+
 # pipeline
 
 
