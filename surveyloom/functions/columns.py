@@ -72,11 +72,17 @@ def group_seed(seed: int, group: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+def _json_text(value: Column) -> Column:
+    """A string as JSON, quotes and control characters escaped."""
+    in_array = F.to_json(F.array(value))
+    return F.substring(in_array, F.lit(2), F.length(in_array) - 2)
+
+
 def extract_key(year: Column, horizon: Column, states: Column) -> Column:
     """First 16 hex digits of SHA-256 over the canonical JSON of the extract settings (states sorted)."""
-    listed = F.concat(F.lit('["'), F.array_join(F.array_sort(states), '", "'), F.lit('"]'))
+    listed = F.array_join(F.transform(F.array_sort(states), _json_text), ", ")
     text = F.concat(
-        F.lit('{"horizon": "'), horizon, F.lit('", "states": '), listed, F.lit(', "year": '), year.cast("string"), F.lit("}")
+        F.lit('{"horizon": '), _json_text(horizon), F.lit(', "states": ['), listed, F.lit('], "year": '), year.cast("string"), F.lit("}")
     )
     return F.substring(F.sha2(text, 256), 1, 16)
 

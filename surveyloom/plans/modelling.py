@@ -14,7 +14,7 @@ from surveyloom.operators import metrics, models
 from surveyloom.operators.design import DesignModel, DesignSpec
 from surveyloom.operators.labels import ValueLabels
 from surveyloom.session import written
-from surveyloom.sources import runs, writers
+from surveyloom.sources import commits, runs, writers
 
 RESULT_SCHEMA = "run_id string, kind string, variant string, split string, weighting string, metric string, value double, uri string, created_at timestamp"
 PARAM_SCHEMA = "run_id string, kind string, variant string, split string, name string, value string"
@@ -50,9 +50,9 @@ def _log(
         F.lit(layout.run_id).alias("run_id"), F.lit(kind).alias("kind"), "variant", "split", "weighting", "metric", "value",
         uri.alias("uri"), F.lit(datetime.now(timezone.utc)).alias("created_at"),
     )
-    table.write.mode("append").parquet(f"{layout.root}/_run_metrics")
+    commits.append_table(table, f"{layout.root}/_run_metrics")
     rows = [(layout.run_id, kind, v, split, name, str(value)) for v, ps in params.items() for name, value in ps.items()]
-    spark.createDataFrame(rows, PARAM_SCHEMA).coalesce(1).write.mode("append").parquet(f"{layout.root}/_run_params")
+    commits.append_rows(spark, f"{layout.root}/_run_params", rows, PARAM_SCHEMA)
     return found
 
 
@@ -112,5 +112,5 @@ def test(
 
 def run_report(spark: SparkSession, layout: runs.RunLayout, kind: str) -> DataFrame:
     """Metrics of this run's kind, variants side by side; after several trainings those of the newest."""
-    table = runs.read_table_if_any(spark, f"{layout.root}/_run_metrics", RESULT_SCHEMA)
+    table = commits.read_rows(spark, f"{layout.root}/_run_metrics", RESULT_SCHEMA)
     return metrics.variant_report(table.where((F.col("run_id") == layout.run_id) & (F.col("kind") == kind)), newest="created_at")

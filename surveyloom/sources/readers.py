@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.functions.columns import quoted
+from surveyloom.sources.headers import layouts
 
 
 def state_paths(pattern: str, states: Sequence[str], dim: Mapping[str, str]) -> list[str]:
@@ -25,14 +25,40 @@ def state_paths(pattern: str, states: Sequence[str], dim: Mapping[str, str]) ->
     return [pattern.format(usps=s.lower(), fips=dim[s]) for s in wanted]
 
 
+def _digits(t: T.DataType) -> int:
+    return t.precision if isinstance(t, T.DecimalType) else {T.IntegerType(): 10, T.LongType(): 20}[t]
+
+
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """Smallest type that reads both; text where the two have nothing in common."""
+    """Smallest type that reads both; text where the two have nothing in common.
+
+    Whole numbers widen from int over bigint to decimals of scale 0, all numbers to double, dates to timestamps.
+    """
     if a == b or isinstance(b, T.NullType):
         return a
     if isinstance(a, T.NullType):
         return b
-    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
-    return order[max(order.index(a), order.index(b))] if a in order and b in order else T.StringType()
+    whole, times = (T.IntegerType, T.LongType, T.DecimalType), (T.DateType, T.TimestampType)
+    if isinstance(a, whole) and isinstance(b, whole):
+        if T.DecimalType in (type(a), type(b)):
+            return T.DecimalType(min(38, max(_digits(a), _digits(b))), 0)
+        return T.LongType()
+    if isinstance(a, (*whole, T.DoubleType)) and isinstance(b, (*whole, T.DoubleType)):
+        return T.DoubleType()
+    return T.TimestampType() if isinstance(a, times) and isinstance(b, times) else T.StringType()
+
+
+def _inferred(reader: DataFrameReader, header: Sequence[str], members: list[str]) -> Iterator[tuple[str, T.DataType]]:
+    found = reader.options(inferSchema=True, samplingRatio=1.0).csv(members).schema
+    return zip(header, (field.dataType for field in found.fields))
+
+
+def _without_values(reader: DataFrameReader, members: list[str], names: Sequence[str]) -> list[str]:
+    """Which of the columns hold nulls only: inference calls them text, but they fit the type that other files have."""
+    if not names:
+        return []
+    seen = reader.options(inferSchema=False).csv(members).agg(*[F.count(quoted(n)).alias(str(i)) for i, n in enumerate(names)]).first()
+    return [n for i, n in enumerate(names) if not seen[i]]
 
 
 def read_csv_by_name(
@@ -45,26 +71,30 @@ def read_csv_by_name(
 ) -> DataFrame:
     """Union of CSV files with columns matched by name; a column that a file lacks is null there.
 
-    Each path (file, folder or glob) has one header. Paths with the same header are read by one scan, since Spark
-    matches the columns of a multi-path CSV scan by position. Without a schema every row is used to infer the types,
+    A path is a file, a folder or a glob; every file starts with its header, empty files are passed over. Headers are read in tasks, and
+    files with the same one by one scan, since Spark matches the columns of a multi-path CSV scan by position: jobs go by layouts, not by
+    files. Without a schema every row is used to infer the types,
     each column gets one type over all files, and ``text_columns`` stay text, which keeps leading zeros of codes.
     """
     reader = spark.read.options(header=True, sep=sep)
-    with ThreadPoolExecutor(8) as pool:  # reads the first line of each path
-        paths = list(paths)
-        headers = list(pool.map(lambda p: tuple(reader.csv(p).columns), paths))
+    paths = list(paths)
     if not paths:
         raise ValueError("no CSV paths given")
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for header, path in zip(headers, paths):
-        layouts.setdefault(header, []).append(path)
+    by_columns: dict[tuple[str, ...], list[str]] = {}
+    for members in layouts(spark, paths):
+        by_columns.setdefault(tuple(reader.csv(members[0]).columns), []).extend(members)
+    if not by_columns:
+        raise ValueError(f"no CSV file with a header below {paths}")
 
     if schema is None:
+        inferred = {h: dict(_inferred(reader, h, members)) for h, members in by_columns.items()}
+        apart = {n for found in inferred.values() for n, t in found.items() if t != T.StringType()}
         types: dict[str, T.DataType] = {}
-        for header, members in layouts.items():
-            inferred = reader.options(inferSchema=True, samplingRatio=1.0).csv(members).schema
-            for field in inferred.fields:
-                types[field.name] = _wider(types.get(field.name, T.NullType()), field.dataType)
+        for header, found in inferred.items():
+            texts = [n for n, t in found.items() if t == T.StringType() and n in apart and n not in set(text_columns)]
+            found.update(dict.fromkeys(_without_values(reader, by_columns[header], texts), T.NullType()))
+            for name, found_type in found.items():
+                types[name] = _wider(types.get(name, T.NullType()), found_type)
         text = set(text_columns)
         types = {n: T.StringType() if n in text or isinstance(t, T.NullType) else t for n, t in types.items()}
     else:
@@ -72,7 +102,7 @@ def read_csv_by_name(
 
     mode = "FAILFAST" if strict else "PERMISSIVE"
     parts = []
-    for header, members in layouts.items():
+    for header, members in by_columns.items():
         layout = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
         part = (
             spark.read.options(header=True, sep=sep, mode=mode, enforceSchema=False)  # header must equal the layout

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.functions.columns import extract_key
+from surveyloom.sources.commits import append_rows, committed, publish, read_rows
 from surveyloom.sources.writers import EXTRACT_CODEC, write_parquet
 
 METADATA_SCHEMA = (
@@ -70,16 +70,6 @@ class RunLayout:
         return f"{self.root}/_models"
 
 
-def read_table_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at a path, or an empty one with the same schema where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def record_step(
     layout: RunLayout, step: str, table: DataFrame, path: str, params: Mapping[str, object] | None = None
 ) -> DataFrame:
@@ -94,40 +84,39 @@ def record_step(
         table.columns,
         {k: v if isinstance(v, str) else json.dumps(v, default=str) for k, v in (params or {}).items()},
     )
-    record = table.sparkSession.createDataFrame([row], METADATA_SCHEMA)
-    record.coalesce(1).write.mode("append").parquet(layout.metadata)
-    return record
+    return append_rows(table.sparkSession, layout.metadata, [row], METADATA_SCHEMA)
 
 
 def run_metadata(spark: SparkSession, layout: RunLayout) -> DataFrame:
-    return read_table_if_any(spark, layout.metadata, METADATA_SCHEMA)
+    return read_rows(spark, layout.metadata, METADATA_SCHEMA)
 
 
 def extract_cache_key(year: int, horizon: str, states: Iterable[str]) -> str:
-    """Same key as ``functions.columns.extract_key``, for use where a path is built."""
-    text = json.dumps({"horizon": horizon, "states": sorted(states), "year": year})
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+    """``functions.columns.extract_key`` of one extract, for use where a path is built; evaluated without a job."""
+    settings = SparkSession.active().createDataFrame([(year, horizon, list(states))], "year int, horizon string, states array<string>")
+    return settings.select(extract_key(F.col("year"), F.col("horizon"), F.col("states"))).first()[0]
 
 
 def cached_extract(
     spark: SparkSession, layout: RunLayout, key: str, build: Callable[[], DataFrame], params: Mapping | None = None
 ) -> tuple[DataFrame, str]:
-    """Reuse the extract of this key, or build and write it. Returns the table and ``"cache"`` or ``"built"``.
+    """Reuse the extract of this key, or build and publish it. Returns the table and ``"cache"`` or ``"built"``.
 
-    The lineage row is appended after the write has finished and serves as the commit mark.
+    Of several builders at once the first to finish publishes, the others take its version; lineage has one row for it.
     """
-    path = f"{layout.cache}/{key}"
-    done = run_metadata(spark, layout).where((F.col("step") == "extract_cache") & (F.col("path") == path))
-    if not done.isEmpty():
-        return spark.read.parquet(path), "cache"
-    table = write_parquet(build(), path, EXTRACT_CODEC, mode="overwrite")
-    record_step(layout, "extract_cache", table, path, params)
-    return table, "built"
+    folder = f"{layout.cache}/{key}"
+    version, built = committed(spark, folder), False
+    if version is None:
+        version, built = publish(spark, folder, lambda path: write_parquet(build(), path, EXTRACT_CODEC))
+    table = spark.read.parquet(version)
+    if built:
+        record_step(layout, "extract_cache", table, version, params)
+    return table, "built" if built else "cache"
 
 
 def register_model(spark: SparkSession, layout: RunLayout, name: str, kind: str, uri: str) -> None:
-    row = [(name, kind, uri, datetime.now(timezone.utc))]
-    spark.createDataFrame(row, MODEL_SCHEMA).coalesce(1).write.mode("append").parquet(layout.models)
+    """Enter a saved model. The entry is its commit: readers find models by the catalogue only, so one half saved is never read."""
+    append_rows(spark, layout.models, [(name, kind, uri, datetime.now(timezone.utc))], MODEL_SCHEMA)
 
 
 def latest_models(catalogue: DataFrame, name: str = "name", created: str = "created_at", uri: str = "uri") -> DataFrame:
@@ -139,7 +128,7 @@ def latest_models(catalogue: DataFrame, name: str = "name", created: str = "crea
 
 def latest_model(spark: SparkSession, layout: RunLayout, name: str, kind: str) -> str:
     """Path of the newest saved model of a name and kind; fails if there is none."""
-    catalogue = read_table_if_any(spark, layout.models, MODEL_SCHEMA)
+    catalogue = read_rows(spark, layout.models, MODEL_SCHEMA)
     found = latest_models(catalogue.where((F.col("name") == name) & (F.col("kind") == kind))).first()
     if found is None:
         raise LookupError(f"no saved {kind} model named {name!r} under {layout.models}")

@@ -37,6 +37,51 @@ def _schema(ddl):
     return StructType.fromDDL(ddl)
 
 
+def test_types_are_merged_over_files(spark, tmp_path):
+    values = {"whole": ("7", "123456789012345678901"), "number": ("12345678901234567890", "0.5"), "day": ("2024-01-31", "2024-01-31 10:20:30"),
+              "long": ("5", "5000000000"), "mixed": ("2024-01-31", "6"), "gap": ("", "4")}
+    paths = [_csv(tmp_path / f"{i}.csv", ",".join([*values, f"own{i}"]) + "\n" + ",".join([v[i] for v in values.values()] + ["1"]) + "\n") for i in (0, 1)]
+    types = dict(readers.read_csv_by_name(spark, paths).dtypes)
+    assert types == {"whole": "decimal(21,0)", "number": "double", "day": "timestamp", "long": "bigint", "mixed": "string", "gap": "int",
+                     "own0": "int", "own1": "int"}
+
+
+def test_jobs_go_by_layouts_not_by_files(spark, tmp_path):
+    names, jobs = ["id", "b", "c", "d", "e"], []
+    for size in (200, 400):  # each layout has more paths than Spark lists without a job
+        folder = tmp_path / str(size)
+        folder.mkdir()
+        for i in range(size):
+            header = names[i % 5 :] + names[: i % 5]
+            _csv(folder / f"part-{i:04}.csv", ",".join(header) + "\n" + ",".join(str(i) if n == "id" else f"{n}{i}" for n in header) + "\n")
+        (folder / "empty.csv").write_text("")
+        paths, group = [str(f) for f in sorted(folder.glob("*.csv"))], f"csv-{size}"
+        spark.sparkContext.setJobGroup(group, group)
+        df = readers.read_csv_by_name(spark, paths)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert df.columns == names
+        assert df.where("b = concat('b', id) AND e = concat('e', id)").agg({"id": "sum"}).first()[0] == sum(range(size))
+    assert jobs[0] == jobs[1] < 100
+
+
+def test_first_lines(spark, tmp_path):
+    import gzip
+
+    from surveyloom.sources import headers
+
+    with gzip.open(tmp_path / "a b.csv.gz", "wt") as f:
+        f.write("x,y\n1,2\n")
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfx,y\r\n3,4\r\n")
+    (tmp_path / "long.csv").write_text("n" * 200_000 + "\n1\n")
+    (tmp_path / "none.csv").write_text("")
+    uris = spark.read.text(str(tmp_path)).inputFiles()
+    got = {r["path"].rsplit("/", 1)[1]: r["line"] for r in headers.first_lines(spark, [*uris, (tmp_path / "none.csv").as_uri()]).collect()}
+    assert got == {"a%20b.csv.gz": "x,y", "bom.csv": "x,y", "long.csv": "n" * 200_000, "none.csv": None}
+    with pytest.raises(ValueError, match="no CSV file"):
+        readers.read_csv_by_name(spark, [str(tmp_path / "none.csv")])
+
+
 def test_types_that_differ_between_files_become_text(spark, tmp_path, rows):
     paths = [_csv(tmp_path / "a.csv", "k,v\n1,10\n"), _csv(tmp_path / "b.csv", "v,k\nN/A,2\n")]
     assert rows(readers.read_csv_by_name(spark, paths)) == [(1, "10"), (2, "N/A")]
@@ -116,6 +161,62 @@ def test_extract_is_built_once(spark, tmp_path):
     assert (row["step"], row["rows"], row["cols"], row["columns"]) == ("extract_cache", 3, 1, ["id"])
 
 
+def test_cache_key_of_no_states_and_of_quotes(spark):
+    import hashlib
+    import json
+
+    for states in ([], ['A"B', "A\\C", "A\tD"], ["WY"] * 2):
+        text = json.dumps({"horizon": 'one "year"', "states": sorted(states), "year": 2022})
+        assert runs.extract_cache_key(2022, 'one "year"', states) == hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def test_two_builders_at_once_publish_one_extract(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    layout, together = runs.RunLayout(str(tmp_path), "r1"), Barrier(4)
+
+    def build():
+        together.wait(60)  # every builder has found nothing committed
+        return spark.range(1000)
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: runs.cached_extract(spark, layout, "k", build), range(4)))
+    assert sorted(source for _, source in got) == ["built", "cache", "cache", "cache"]
+    assert len({t.inputFiles()[0].rsplit("/", 1)[0] for t, _ in got}) == 1 and {t.count() for t, _ in got} == {1000}
+    assert len(list((tmp_path / "_extract_cache" / "k").glob("*v-*"))) == 1
+    assert runs.run_metadata(spark, layout).where("step = 'extract_cache'").count() == 1
+
+
+def test_failed_builder_leaves_no_version(spark, tmp_path):
+    from surveyloom.sources import commits
+
+    layout = runs.RunLayout(str(tmp_path), "r1")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        runs.cached_extract(spark, layout, "k", lambda: spark.sql("SELECT 1 / (id - 5) AS x FROM range(10)"))
+    assert commits.committed(spark, f"{layout.cache}/k") is None
+    assert runs.cached_extract(spark, layout, "k", lambda: spark.range(2))[1] == "built"
+
+
+def test_sweep_keeps_the_committed_version(spark, tmp_path):
+    from surveyloom.sources import commits
+
+    folder = str(tmp_path / "t")
+    path, won = commits.publish(spark, folder, lambda p: spark.range(3).write.parquet(p))
+    spark.range(4).write.parquet(f"{folder}/v-abandoned")
+    assert won and commits.sweep(spark, folder, 1) == 0 and commits.sweep(spark, folder, 0) == 1
+    assert commits.committed(spark, folder) == path and spark.read.parquet(path).count() == 3
+
+
+def test_jobs_append_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    layout = runs.RunLayout(str(tmp_path), "r1")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: runs.register_model(spark, layout, f"m{i}", "boosted_trees", f"u{i}"), range(16)))
+    assert all(runs.latest_model(spark, layout, f"m{i}", "boosted_trees") == f"u{i}" for i in range(16))
+
+
 def test_latest_model(spark, tmp_path):
     layout = runs.RunLayout(str(tmp_path), "r1")
     with pytest.raises(LookupError):
