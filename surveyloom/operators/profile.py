@@ -20,6 +20,8 @@ from surveyloom.session import literal_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 ACCURACY = 10_000  # of percentile_approx: rank error at most 1 / ACCURACY of the rows
+SKETCH = 4096  # size of a quantile sketch
+SKETCH_ERROR = 2.296 / SKETCH**0.9021  # its rank error, as a share of the rows, is below this with 99 % probability
 BRACKET_ROWS = 200_000  # a bracket of at most this many rows is not narrowed again
 
 
@@ -99,42 +101,49 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, null_count, mean, std, min, quartiles, max.
 
     A quartile is the value at position round((n - 1)·q) of the sorted column, half away from zero, exactly. Columns
-    are not sorted as a whole: approximate percentiles around the position give a bracket, a count proves that it holds
-    the position, and only the distinct values inside are ranked.
+    are not sorted as a whole. One scan takes the moments and a mergeable quantile sketch, whose quantiles around the position are a
+    bracket; a second one counts the rows below the bracket and ranks the distinct values inside, which proves the value or finds none.
+    Only what was not proved, and columns so long that a sketch's bracket is over ``BRACKET_ROWS``, take further scans.
     """
     columns = split_by_type(df)[0] if columns is None else list(columns)
     values = df.select(*[C.quoted(c).cast("double").alias(c) for c in columns])
-    percents = [p for q in QUARTILES.values() for p in _around(q)]
     cells = values.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), C.quoted(c).alias("value")) for c in columns])))
-    v = F.col("value")
+    v, asked = F.col("value"), F.array(*[F.lit(p) for q in QUARTILES.values() for p in _outside(q)])
     moments = cells.groupBy("feature").agg(
         F.count(v).alias("count"), F.count_if(v.isNull()).alias("null_count"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, SKETCH).alias("sketch"),
     )
-    stats = {r["feature"]: r for r in moments.collect()}
+    known = F.kll_sketch_get_n_double("sketch") > 0
+    near = F.when(known, F.kll_sketch_get_quantile_double("sketch", asked)).alias("near")
+    stats = {r["feature"]: r for r in moments.withColumn("near", near).drop("sketch").collect()}
     stats = {c: stats[c] for c in columns if c in stats}
-    asked = [F.percentile_approx(C.quoted(c), percents, ACCURACY).alias(c) for c in stats]
-    near = values.agg(*asked).first() if stats else {}
-    brackets = {}
+    brackets, guessed = {}, {}
     for c, s in stats.items():
         for k, (name, q) in enumerate(QUARTILES.items()):
             if s["count"]:
-                whole = _Bracket(s["min"], s["max"], _position(s["count"], q), inside=s["count"])
-                whole.guess = tuple(near[c][2 * k : 2 * k + 2])
-                brackets[c, name] = whole
-    quartiles = _ranked(values, _narrowed(values, brackets))
-    wide = quartiles.groupBy("feature").pivot("quantile", list(QUARTILES)).agg(F.first("value"))
+                brackets[c, name] = _Bracket(s["min"], s["max"], _position(s["count"], q), inside=s["count"])
+                low, high = _outside(q)
+                if s["near"] and min(1.0, high - low) * s["count"] <= BRACKET_ROWS:
+                    guessed[c, name] = _Bracket(*s["near"][2 * k : 2 * k + 2], brackets[c, name].position)
+    found = {(r["feature"], r["quantile"]): r["value"] for r in _proved(values, guessed).collect()}
+    missing = {k: b for k, b in brackets.items() if k not in found}
+    if missing:
+        asked = {c: F.percentile_approx(C.quoted(c), [p for q in QUARTILES.values() for p in _around(q)], ACCURACY) for c, _ in missing}
+        near = values.agg(*[e.alias(c) for c, e in asked.items()]).first()
+        for c, name in missing:
+            at = 2 * list(QUARTILES).index(name)
+            missing[c, name].guess = tuple(near[c][at : at + 2])
+        found.update({(r["feature"], r["quantile"]): r["value"] for r in _ranked(values, _narrowed(values, missing)).collect()})
     summary = literal_table(
         df.sparkSession,
         {
             "feature": pa.array(list(stats), pa.string()),
             **{n: pa.array([s[n] for s in stats.values()], pa.int64()) for n in ("count", "null_count")},
             **{n: pa.array([s[n] for s in stats.values()], pa.float64()) for n in ("mean", "std", "min", "max")},
+            **{q: pa.array([found.get((c, q)) for c in stats], pa.float64()) for q in QUARTILES},
         },
     )
-    return summary.join(wide, "feature", "left").select(
-        "feature", "count", "null_count", "mean", "std", "min", *QUARTILES, "max"
-    )
+    return summary.select("feature", "count", "null_count", "mean", "std", "min", *QUARTILES, "max")
 
 
 @dataclass
@@ -162,6 +171,31 @@ def _around(q: float) -> list[float]:
     return [max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)]
 
 
+def _outside(q: float) -> list[float]:
+    """Percentages on both sides of q, further off than the error of a sketch."""
+    low, high = _around(q)
+    return [max(0.0, low - 2 * SKETCH_ERROR), min(1.0, high + 2 * SKETCH_ERROR)]
+
+
+def _proved(values: DataFrame, brackets: dict[tuple[str, str], _Bracket]) -> DataFrame:
+    """``(feature, quantile, value)`` of the brackets that hold their position, in one scan.
+
+    Rows below a bracket are summed to one row of it, with a null value, and rows above are not counted.
+    """
+    if not brackets:
+        return values.sparkSession.createDataFrame([], "feature string, quantile string, value double")
+    targets = [
+        F.struct(F.lit(i).alias("i"), F.when(C.quoted(c) >= b.low, C.quoted(c)).alias("value"), (C.quoted(c) <= b.high).alias("counts"))
+        for i, ((c, _), b) in enumerate(brackets.items())
+    ]
+    counts = values.select(F.inline(F.array(*targets))).where("counts").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = [F.struct(F.lit(c).alias("feature"), F.lit(name).alias("quantile"), F.lit(b.position).cast("bigint").alias("position")) for (c, name), b in brackets.items()]
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy(F.col("value").asc_nulls_first()))
+    ranked = counts.select("value", "n", upto.alias("upto"), F.array(*names)[F.col("i")].alias("of"))
+    hit = ranked.where("value IS NOT NULL AND upto - n <= of.position AND of.position < upto")
+    return hit.select("of.feature", "of.quantile", "value")
+
+
 def _narrowed(
     values: DataFrame, brackets: dict[tuple[str, str], _Bracket]
 ) -> dict[tuple[str, str], _Bracket]:

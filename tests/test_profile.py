@@ -50,6 +50,33 @@ def test_describe_when_the_guess_fails(table, monkeypatch):
     _check(table)
 
 
+def test_describe_takes_two_scans(spark):
+    """Moments and sketches, then the proof; a job is not a scan, so scans are counted by the rows they read."""
+    rng = np.random.default_rng(5)
+    values = [(float(x), float(y)) for x, y in zip(rng.normal(size=30_000), rng.integers(0, 3, 30_000))]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(values, "x double, hot double").mapInArrow(count, "x double, hot double")
+    got = {r["feature"]: r for r in profile.describe(table).collect()}
+    assert read.value == 2 * len(values)
+    for i, c in enumerate(("x", "hot")):
+        assert [got[c][q] for q in ("q25", "q50", "q75")] == [_nearest([v[i] for v in values], q) for q in (0.25, 0.5, 0.75)]
+
+
+def test_describe_with_not_a_number(spark):
+    """Not a number counts as the largest value; the sketch leaves it out, so the proof fails and the fallback answers."""
+    nan = float("nan")
+    df = spark.createDataFrame([(float(i) if i < 40 else nan, nan) for i in range(100)], "a double, b double")
+    got = {r["feature"]: r for r in profile.describe(df).collect()}
+    assert got["a"]["q25"] == 25.0 and math.isnan(got["a"]["q50"]) and math.isnan(got["a"]["q75"])
+    assert all(math.isnan(got["b"][q]) for q in ("q25", "q50", "q75"))
+
+
 def test_describe_of_an_empty_column(spark):
     df = spark.createDataFrame([(None, 1), (None, 2)], "a double, b int")
     got = {r["feature"]: r for r in profile.describe(df).collect()}
