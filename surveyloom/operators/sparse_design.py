@@ -8,20 +8,21 @@ join, and a row is a list of its non-zero cells.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import columns as C
-from surveyloom.operators.design import DesignModel, DesignSpec, distinct_values
+from surveyloom.operators.design import DesignModel, DesignSpec
 from surveyloom.session import literal_table, written
 
 CELL = "struct<index:bigint,value:double>"
+VOCABULARY = "position bigint, place int, feature string, value string"
 
 
-def with_positions(df: DataFrame, order: Sequence[str], name: str, first: int = 0) -> DataFrame:
+def with_positions(df: DataFrame, order: Sequence[str], name: str, first: int = 0, partition_by: str | None = None) -> DataFrame:
     """``df`` with ``position``, counted from ``first`` in the given order, as a written table. No task sees more than a range.
 
     The rows are range-partitioned and sorted; a row's number within its range is added to the number of rows of the ranges before,
@@ -34,7 +35,8 @@ def with_positions(df: DataFrame, order: Sequence[str], name: str, first: int =
     offsets = written(counts.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), f"{name}-offsets")
     own = F.col("_at") - F.shiftleft(F.col("_range"), 33)
     placed = ranges.join(offsets, F.col("_range") == F.col("_of"))
-    return written(placed.select((own + F.col("_before") + F.lit(first)).alias("position"), *df.columns), name)
+    placed = placed.select((own + F.col("_before") + F.lit(first)).alias("position"), *df.columns)
+    return written(placed, name, partition_by).select(*placed.columns)
 
 
 @dataclass
@@ -59,16 +61,16 @@ class SparseDesign:
         found = self.vocabulary.select("position", F.concat(F.create_map(*labels)[F.col("feature")], F.lit("_"), "value").alias("name")) if labels else None
         return found if known is None else known if found is None else known.unionAll(found)
 
-    def _known_cells(self) -> Column:
+    def _known_cells(self, columns: Mapping[str, Column]) -> Column:
         """Cells of numbers and codes: a zero is no cell, an unreadable number is NaN, a code without a label has none."""
         cells, at = [], 0
         for c, (low, high) in self.dense.bounds.items():
-            value = F.coalesce(C.min_max_scaled(C.quoted(c), low, high, self.dense.constant).cast("double"), F.lit(float("nan")))
+            value = F.coalesce(C.min_max_scaled(columns[c], low, high, self.dense.constant).cast("double"), F.lit(float("nan")))
             cells.append(F.struct(F.lit(at).cast("bigint").alias("index"), value.alias("value")))
             at += 1
         for c, codes in self.dense.codes.items():
             places = F.create_map(*[x for i, code in enumerate(codes) for x in (F.lit(code), F.lit(at + i).cast("bigint"))])
-            cells.append(F.struct(places[C.quoted(c).cast("string")].alias("index"), F.lit(1.0).alias("value")))
+            cells.append(F.struct(places[columns[c].cast("string")].alias("index"), F.lit(1.0).alias("value")))
             at += len(codes)
         if not cells:
             return F.array().cast(f"array<{CELL}>")
@@ -77,40 +79,35 @@ class SparseDesign:
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Kept columns, the weight under its label, and ``indices, values`` of the non-zero cells in ascending order of the index.
 
-        A null or unknown text has no cell. Cells of text meet the vocabulary in one join, in which a frequent value may be split over
-        tasks, as every value is in the vocabulary once; then the cells of a row come together. Rows without texts are only projected.
+        A null or unknown text has no cell. Each text column meets its own part of the vocabulary in one join that keeps all rows; a part that is small is
+        broadcast by Spark's threshold, only a long one moves the rows, in which a frequent value may be split over tasks, as every value is in the
+        vocabulary once. The rows travel as they came, and their cells are made at the end.
         """
         weight = [] if self.dense.weight is None else [C.quoted(self.dense.weight).alias(self.dense.label(self.dense.weight))]
         kept = [*weight, *[C.quoted(k) for k in keep]]
         names = [*([self.dense.label(self.dense.weight)] if weight else []), *keep]
-        payload = F.struct(*kept, self._known_cells().alias("_known"))
-        if not self.texts:
-            cells = df.select(payload.alias("row")).withColumn("found", F.array().cast("array<bigint>"))
-        else:
-            values = F.array(*[F.struct(F.lit(i).alias("place"), C.quoted(t).cast("string").alias("value")) for i, t in enumerate(self.texts)])
-            rows = df.select(payload.alias("row"), F.filter(values, lambda x: x["value"].isNotNull()).alias("texts"))
-            rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "sparse-rows")
-            texts = rows.select("id", F.inline("texts"))
-            known = self.vocabulary.select("position", F.col("place").alias("_place"), F.col("value").alias("_value"))
-            found = texts.join(known, (F.col("place") == F.col("_place")) & (F.col("value") == F.col("_value")))
-            cells = rows.select("id", "row", F.lit(None).cast("bigint").alias("position"))
-            cells = cells.unionByName(found.select("id", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "position"))
-            cells = cells.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.collect_list("position").alias("found"))
-        ones = F.transform("found", lambda p: F.struct(p.alias("index"), F.lit(1.0).alias("value")))
-        whole = F.array_sort(F.concat(F.col("row._known"), ones)).alias("cells")
-        out = cells.select(*[F.col("row")[n].alias(n) for n in names], whole)
+        inputs = [*self.dense.bounds, *self.dense.codes]
+        carried = [*[c.alias(f"_k{i}") for i, c in enumerate(kept)], *[C.quoted(c).alias(f"_c{i}") for i, c in enumerate(inputs)]]
+        rows = df.select(*carried, *[C.quoted(t).cast("string").alias(f"_t{i}") for i, t in enumerate(self.texts)])
+        for i in range(len(self.texts)):
+            known = self.vocabulary.where(F.col("place") == i).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}"))
+            rows = rows.join(known, F.col(f"_t{i}") == F.col(f"_v{i}"), "left").drop(f"_t{i}", f"_v{i}")
+        found = [F.struct(F.col(f"_p{i}").alias("index"), F.lit(1.0).alias("value")) for i in range(len(self.texts))]
+        ones = F.filter(F.array(*found), lambda x: x["index"].isNotNull()) if found else F.array().cast(f"array<{CELL}>")
+        whole = F.array_sort(F.concat(self._known_cells({c: F.col(f"_c{i}") for i, c in enumerate(inputs)}), ones)).alias("cells")
+        out = rows.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)], whole)
         return out.select(*[C.quoted(n) for n in names], F.col("cells.index").alias("indices"), F.col("cells.value").alias("values"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.dense.save(spark, f"{path}/dense")
-        self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        self.vocabulary.write.partitionBy("place").mode("overwrite").parquet(f"{path}/vocabulary")
         text = json.dumps({"texts": self.texts, "width": self.width})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SparseDesign:
         layout = json.loads(spark.read.text(f"{path}/layout", wholetext=True).first()["value"])
-        return SparseDesign(DesignModel.load(spark, f"{path}/dense"), layout["texts"], spark.read.parquet(f"{path}/vocabulary"), layout["width"])
+        return SparseDesign(DesignModel.load(spark, f"{path}/dense"), layout["texts"], spark.read.schema(VOCABULARY).parquet(f"{path}/vocabulary"), layout["width"])
 
 
 def fit_sparse(spec: DesignSpec, df: DataFrame) -> SparseDesign:
@@ -119,9 +116,9 @@ def fit_sparse(spec: DesignSpec, df: DataFrame) -> SparseDesign:
     first = len(dense.bounds) + sum(len(codes) for codes in dense.codes.values())
     spark = df.sparkSession
     if texts:
-        places = F.create_map(*[x for i, t in enumerate(texts) for x in (F.lit(t), F.lit(i))])
-        found = distinct_values(df, texts).select(places[F.col("feature")].alias("place"), "feature", "value")
-        vocabulary = with_positions(found, ["place", "value"], "vocabulary", first)
+        cells = F.filter(F.array(*[F.struct(F.lit(i).alias("place"), C.quoted(t).cast("string").alias("value")) for i, t in enumerate(texts)]), lambda x: x["value"].isNotNull())
+        vocabulary = with_positions(df.select(F.inline(cells)).distinct(), ["place", "value"], "vocabulary", first, "place")
+        vocabulary = vocabulary.select("position", "place", F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("place") + 1).alias("feature"), "value")
     else:
-        vocabulary = spark.createDataFrame([], "position bigint, place int, feature string, value string")
+        vocabulary = spark.createDataFrame([], VOCABULARY)
     return SparseDesign(dense, texts, vocabulary, first + vocabulary.count())

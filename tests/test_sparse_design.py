@@ -82,3 +82,19 @@ def test_positions_follow_the_order(spark):
     df = spark.createDataFrame([(g, v) for g in (2, 0, 1) for v in "cab"], "g int, v string").repartition(6)
     placed = with_positions(df, ["g", "v"], "test", 10).orderBy("position").collect()
     assert [tuple(r) for r in placed] == [(10 + i, *x) for i, x in enumerate((g, v) for g in (0, 1, 2) for v in "abc")]
+
+
+def test_rows_move_for_long_vocabularies_only(spark, table, spec):
+    """Two text columns of a few values: their parts of the vocabulary are broadcast, and no row is shuffled."""
+    found = fit_sparse(spec, table).transform(table)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_an_empty_vocabulary_is_saved(spark, tmp_path):
+    words = fit_sparse(DesignSpec({}), spark.createDataFrame([(None, 1.0), (None, 3.0)], "t string, a double"))
+    words.save(spark, str(tmp_path / "m"))
+    again = SparseDesign.load(spark, str(tmp_path / "m"))
+    rows = spark.createDataFrame([("x", 3.0)], "t string, a double")
+    assert [tuple(r) for r in again.transform(rows).collect()] == [([0], [1.0])] and again.width == 1
