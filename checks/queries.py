@@ -292,16 +292,26 @@ def copula_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copula_sample_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Drawn rows per group, and whether all numbers stay in the range and all texts in the vocabulary of the training rows."""
+    """Drawn rows per group, and whether all numbers stay in the range and all texts in the vocabulary of the training rows.
+
+    A text is looked up by a join with the values of its column and group, whose cost does not grow with the number of values.
+    """
     training, drawn = _drawn(spark, sf)
     numeric, _ = features.split_by_type(training)
     columns = SPEC.synthesised(training.columns)
     cells = [x for c in columns if c in numeric for x in (F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"))]
-    cells += [F.collect_set(c).alias(f"{c}_values") for c in columns if c not in numeric]
     joined = drawn.join(written(training.groupBy("ST").agg(*cells), "seen"), "ST")
+    texts = [c for c in columns if c not in numeric]
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias("value")) for i, c in enumerate(texts)])
+    values = written(training.select("ST", F.inline(pairs)).distinct(), "seen-values", "place")
     inside = F.lit(True)
     for c in columns:
-        inside &= F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")) if c in numeric else F.array_contains(f"{c}_values", F.col(c))
+        if c in numeric:
+            inside &= F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
+            continue
+        known = values.where(F.col("place") == texts.index(c)).select(F.col("ST").alias(f"{c}_of"), F.col("value").alias(f"{c}_known"))
+        joined = joined.join(known, (F.col("ST") == F.col(f"{c}_of")) & (F.col(c) == F.col(f"{c}_known")), "left")
+        inside &= F.col(f"{c}_known").isNotNull()
     return joined.groupBy("ST", "state_population").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(inside).alias("n_inside")
     )

@@ -259,3 +259,21 @@ def test_roles_of_columns_are_the_callers(spark, tmp_path):
     assert copula.fit_copula(df, "g", ["code", "v"]).numeric == ["code", "v"]
     with pytest.raises(ValueError, match="numeric"):
         copula.fit_copula(df.withColumn("v", F.col("v").cast("string")), "g", ["code", "v"], categorical=["code"])
+
+
+def test_profile_looks_texts_up_by_a_join(spark, sf_dir, monkeypatch):
+    """One row in four gets a text of another group, a null or a number beyond the range; no list of values is searched row by row."""
+    from checks import queries
+
+    training, drawn = queries._drawn(spark, sf_dir)
+    drawn = drawn.where("ST IN ('01', '06')").withColumn("OCCP", F.when(F.col("ST") == "06", F.lit("none")).otherwise(F.col("OCCP"))).limit(4000)
+    drawn = drawn.withColumn("WAGP", F.when(F.col("AGEP") % 2 == 0, F.lit(1e12)).otherwise(F.col("WAGP"))).withColumn(
+        "SEX", F.when(F.col("AGEP") % 3 == 0, F.lit(None)).otherwise(F.col("SEX"))
+    )
+    drawn = queries.written(drawn, "test-drawn")
+    monkeypatch.setattr(queries, "_drawn", lambda *_: (training, drawn))
+    found = queries.copula_sample_profile(spark, sf_dir)
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+    good = (F.col("ST") != "06") & (F.col("AGEP") % 2 != 0) & (F.col("AGEP") % 3 != 0)
+    expected = {r["ST"]: (r["n"], r["good"]) for r in drawn.groupBy("ST").agg(F.count("*").alias("n"), F.count_if(good).alias("good")).collect()}
+    assert {r["ST"]: (r["n_rows"], r["n_inside"]) for r in found.collect()} == expected
