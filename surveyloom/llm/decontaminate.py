@@ -9,7 +9,7 @@ the benchmark's own values. The original has the same values, a re-parameterised
 First the forms are made as texts in generated code, for all documents; only windows whose hash passes a bitmap of the benchmark's hashes leave
 the scan, and documents that hold too few windows of every item are done. The bitmap has a size that is fixed by the number of benchmark
 windows, within the stated limits, so what reaches every task is bounded; a larger benchmark makes it less selective, never wrong.
-Places and slots are worked out for the documents that are left.
+Places and slots are worked out for the documents that are left; a bitmap of their ids keeps the texts of the others where they are.
 """
 
 from __future__ import annotations
@@ -182,9 +182,8 @@ def likely(own: DataFrame, items: DataFrame, sizes: DataFrame, scratch: Scratch,
     wanted = scratch.write(wanted.select("item.*", "f", "k", hashed).distinct(), "benchmark-forms")
     words = bitmap_words(wanted.count(), settings)
     bitmap = scratch.write(hash_bitmap(wanted, words), "benchmark-bitmap")
-    word = F.get(bitmap.scalar(), F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(words - 1)).cast("int"))
     hits = form_windows(own, "doc_id", settings.window).select("doc_id", "f", "k", hashed)
-    hits = hits.where(F.getbit(word, F.col("hash").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    hits = hits.where(in_bitmap(bitmap, words, F.col("hash")))
     hits = scratch.write(hits.join(wanted.select("hash").distinct(), "hash"), "form-matches")
     found = hits.select("doc_id", "hash").distinct().join(wanted, "hash")
     found = found.groupBy("doc_id", "item_id").agg(F.count_distinct("row", "f", "k", "hash").alias("n"))
@@ -194,6 +193,19 @@ def likely(own: DataFrame, items: DataFrame, sizes: DataFrame, scratch: Scratch,
     return scratch.write(hits.groupBy("doc_id").agg(F.collect_set(F.struct("f", "k")).alias("spots")), "likely")
 
 
+def perhaps_in(own: DataFrame, found: DataFrame, scratch: Scratch, settings: Settings) -> DataFrame:
+    """Rows of ``own`` with a ``doc_id`` of ``found``, and few others: a bitmap of the ids keeps their texts out of the shuffle."""
+    ids = found.select(F.xxhash64("doc_id").alias("hash"))
+    words = bitmap_words(ids.count(), settings)
+    bitmap = scratch.write(hash_bitmap(ids, words), "document-bitmap")
+    return own.where(in_bitmap(bitmap, words, F.xxhash64("doc_id")))
+
+
+def in_bitmap(bitmap: DataFrame, words: int, hashed: Column) -> Column:
+    word = F.get(bitmap.scalar(), F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(words - 1)).cast("int"))
+    return F.getbit(word, hashed.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def bitmap_words(n_windows: int, settings: Settings) -> int:
     bits = settings.least_bits
     while bits < min(64 * n_windows, settings.most_bits):
@@ -248,7 +260,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         count = [F.count_distinct(F.when(F.col("main"), F.col("at"))).alias("n_main"), F.count_distinct("at").alias("n_all")]
         sizes = scratch.write(wanted.groupBy("item_id").agg(*count), "benchmark-sizes")
         own = documents(docs, text, key).where(F.col("doc_id").isNotNull())
-        own = own.join(likely(own, items.where(F.col("item_id").isNotNull()), sizes, scratch, settings), "doc_id")
+        found = likely(own, items.where(F.col("item_id").isNotNull()), sizes, scratch, settings)
+        own = perhaps_in(own, found, scratch, settings).join(found, "doc_id")
         hits = _prepared(own, "doc_id", "spots").select("doc_id", *FORMS, F.explode_outer("spots").alias("spot"))
         name = F.get(F.array(*[F.lit(form) for form in FORMS]), F.col("spot.f"))
         hits = hits.select("doc_id", *FORMS, name.alias("form"), F.col("spot.k").alias("k")).select("doc_id", _window(settings.window).alias("w"))

@@ -368,6 +368,15 @@ def test_secret_spans(spark):
         assert [s for s in own if s[0] in ("assign", "access", "hex")] == brute_spans(text)
         assert any(s[0] == "pem" for s in own) == ("BEGIN RSA" in (text or ""))
 
+def test_texts_of_clean_documents_do_not_enter_the_join(spark):
+    own = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    found = own.where("doc_id % 500 = 3").select("doc_id")
+    with Scratch(spark) as scratch:
+        kept = [r["doc_id"] for r in decontaminate.perhaps_in(own, found, scratch, decontaminate.Settings()).collect()]
+        none = decontaminate.perhaps_in(own, found.limit(0), scratch, decontaminate.Settings()).count()
+    assert {i for i in range(20_000) if i % 500 == 3} <= set(kept) and len(kept) < 200 and none == 0
+
+
 
 def test_ledger_scans_only_what_is_new(spark):
     path = scratch_path(spark, "ledger")
