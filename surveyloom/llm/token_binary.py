@@ -27,9 +27,9 @@ from surveyloom.llm import ans
 from surveyloom.llm.scratch import Scratch, documents, ship, tasks_for
 from surveyloom.llm.text import hash_ranges, slices
 
-CACHE_PIECES = 500_000  # pieces of text whose ids a worker remembers; then it starts anew
+CACHE_PIECES = 1_500_000  # pieces of text whose ids a worker remembers, some 30 bytes each; then it starts anew
 TOGETHER = 1000  # new pieces that the library gets as one text
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 SIDE_BY_SIDE = 3_000_000  # tokens that a task holds to encode at once
 
 
@@ -39,30 +39,38 @@ class Settings:
     block_tokens: int = 65_536
 
 
-SPACE, BREAK = ord(" "), ord("\n")
+SPACE, BREAK, MARKS = ord(" "), ord("\n"), (ord(","), ord("."))
 # Last and next to last bytes that white space beyond ASCII may have; other characters with such bytes are only cut less often.
 TAIL, BEFORE_TAIL = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 TAIL[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 BEFORE_TAIL[[0xC2, 0x80, 0x81, 0x9A]] = True
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
 def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of pieces: of each text that is not empty, and of spaces and line breaks after something that is no white space."""
+    """Starts of pieces: of each text that is not empty, of spaces and line breaks after something that is no white space, and of a
+    , or . between a letter and such a place.
+    """
     cut = (data == SPACE) | (data == BREAK)
     cut[1:] &= data[:-1] > 0x20
     cut[2:] &= ~(TAIL[data[1:-1]] & BEFORE_TAIL[data[:-2]])
     begins = offsets[:-1][np.diff(offsets) > 0]
     cut[begins] = True
-    return np.flatnonzero(cut)
+    before_cut = np.append(cut[1:], True)
+    before_cut &= ~cut & ((data == MARKS[0]) | (data == MARKS[1]))
+    before_cut[1:] &= LETTER[data[:-1]]
+    return np.flatnonzero(cut | before_cut)
 
 
 class Encoder:
     """A tokenizer with a memory of pieces.
 
     Byte-level pre-tokenizers never join a character with a space or line break after it, so a text may be cut before a space or
-    line break that follows something else than white space, and equal pieces have equal ids. The library sees each new
-    piece once. Where the rule does not hold (another pre-tokenizer, a normaliser, a special token in the text), it gets the
-    whole text. Pieces are told apart by two hashes of 64 bits each.
+    line break that follows something else than white space, and equal pieces have equal ids; a letter before a final , or . ends a
+    pre-token too. The library sees each new piece once. Where the rule does not hold (another pre-tokenizer, a normaliser, a special
+    token in the text), it gets the whole text. Pieces are told apart by two hashes of 64 bits each; texts with pieces that
+    agree in one of them only go to the library whole. What is remembered are arrays: hashes in ascending order, and places in one pool of ids.
     """
 
     def __init__(self, path: str):
@@ -77,70 +85,91 @@ class Encoder:
         self.special = [t["content"].encode() for t in state.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
         self.bytes_of = np.zeros(self.size, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)  # byte-level vocabularies write each byte as one character
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    def _together(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of pieces that may follow each other in a text: coded as one text, told apart by the bytes that tokens stand for."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
-        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p) for p in pieces])) + 1
-        coded = ids.astype(self.kind)
-        return [coded[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def _learn(self, wanted: list[bytes]) -> None:
-        """Ids of new pieces; a letter before a final , or . ends a pre-token, so that mark is looked up by itself."""
-        stems = {p: p[:-1] for p in wanted if len(p) > 2 and p[-1:] in (b",", b".") and p[-2:-1].isalpha()}
-        new = {stems.get(p, p) for p in wanted} | {p[-1:] for p in stems}
-        new = [p for p in new if p not in self.known]
-        joins = [p for p in new if p[0] in (SPACE, BREAK) and p[-1] > 0x20 and not (TAIL[p[-1]] and BEFORE_TAIL[p[-2]])]
-        alone = list(set(new).difference(joins))
-        self.known.update(zip(alone, self._library([p.decode() for p in alone])))
-        for i in range(0, len(joins), TOGETHER):
-            self.known.update(zip(joins[i : i + TOGETHER], self._together(joins[i : i + TOGETHER])))
-        for piece, stem in stems.items():
-            self.known[piece] = self.known[stem] + self.known[piece[-1:]]
-
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            self._learn([p for p, ids in zip(pieces, found) if ids is None])
-            found = list(map(self.known.get, pieces))
-        return found
+    def _forget(self) -> None:
+        self.known, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.begin, self.length = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(0, dtype=self.kind)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = self._library([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])
+        return np.concatenate([np.zeros(0, self.kind), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids, and numbers of ids, of pieces that may follow each other in a text: coded as texts, told apart by the bytes that tokens stand for."""
+        ids, lengths = [], []
+        for i in range(0, len(starts), TOGETHER):
+            first, size = starts[i : i + TOGETHER], ends[i : i + TOGETHER] - starts[i : i + TOGETHER]
+            upto = np.cumsum(size)
+            joined = data[np.repeat(first - upto + size, size) + np.arange(upto[-1])]
+            ids.append(self._library([joined.tobytes().decode()])[0])
+            places = np.searchsorted(np.cumsum(self.bytes_of[ids[-1]]), upto) + 1
+            lengths.append(np.diff(places, prepend=0))
+        return ids, lengths
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Remember the ids of new pieces; ``one`` ascends."""
+        head, last = data[starts], data[ends - 1]
+        joins = ((head == SPACE) | (head == BREAK)) & (last > 0x20) & ~(TAIL[last] & BEFORE_TAIL[data[ends - 2]])
+        alone = ~joins
+        ids, lengths = self._together(data, starts[joins], ends[joins])
+        more = self._library([data[a:b].tobytes().decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())])
+        length = np.zeros(len(one), dtype=np.int32)
+        length[joins] = np.concatenate([np.zeros(0, dtype=np.int64), *lengths])
+        length[alone] = [len(x) for x in more]
+        in_pool = np.concatenate([np.flatnonzero(joins), np.flatnonzero(alone)])
+        begin = np.zeros(len(one), dtype=np.int64)
+        begin[in_pool] = np.cumsum(length[in_pool]) - length[in_pool] + len(self.pool)
+        at = np.searchsorted(self.known, one)
+        self.known, self.check = np.insert(self.known, at, one), np.insert(self.check, at, two)
+        self.begin, self.length = np.insert(self.begin, at, begin), np.insert(self.length, at, length)
+        self.pool = np.concatenate([self.pool, *ids, *more])
+
+    def _found(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each hash among the known ones, whether it is there)."""
+        at = np.searchsorted(self.known, one)
+        there = at < len(self.known)
+        there[there] = self.known[at[there]] == one[there]
+        return at, there
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text begins); texts are data[offsets[i]:offsets[i + 1]]."""
         raw = data.tobytes()
         n = len(offsets) - 1
         if not self.cuts or any(s in raw for s in self.special):
-            parts = [np.frombuffer(x, self.kind) for x in self._library([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])]
-            return np.concatenate([np.zeros(0, self.kind), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+            return self._whole(raw, offsets)
         if not len(raw):
             return np.zeros(0, self.kind), np.zeros(n + 1, dtype=np.int64)
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
+            self._forget()
         starts = cut_places(data, offsets)
         ends = np.append(starts[1:], len(data))
         one, two = (hash_ranges(data, starts, ends, fold=f) for f in (False, None))
         which, distinct = pd.factorize(one)
+        order = np.argsort(distinct)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        which, distinct = rank[which], distinct[order]
         first = np.zeros(len(distinct), dtype=np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
-        if (two != two[first][which]).any():  # two pieces with one hash
-            first, which = np.arange(len(starts)), np.arange(len(starts))
-        ids = self._pieces([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-        pool = np.frombuffer(b"".join(ids), self.kind)
-        lengths = np.array([len(x) for x in ids], dtype=np.int64) // self.kind.itemsize
-        begin = np.cumsum(lengths) - lengths
-        size = lengths[which]
-        at = np.cumsum(size) - size
-        total = int(at[-1] + size[-1])
-        out = pool[np.repeat(begin[which] - at, size) + np.arange(total)]
-        return out, np.append(at, total)[np.searchsorted(starts, offsets)]
+        at, there = self._found(distinct)
+        if (two != two[first][which]).any() or (self.check[at[there]] != two[first[there]]).any():  # two pieces with one hash
+            return self._whole(raw, offsets)
+        if not there.all():
+            new = first[~there]
+            self._learn(data, starts[new], ends[new], distinct[~there], two[new])
+            at = np.searchsorted(self.known, distinct)
+        size = self.length[at][which]
+        upto = np.cumsum(size, dtype=np.int64)
+        out = self.pool[np.repeat(self.begin[at][which] - upto + size, size) + np.arange(upto[-1])]
+        return out, np.append(upto - size, upto[-1])[np.searchsorted(starts, offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -180,9 +209,15 @@ def histogram(kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         unpacker = zstandard.ZstdDecompressor()
+        held, parts = 0, []
         for batch in batches:
             for raw in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(unpacker.decompress(raw), dtype=kind), minlength=size)
+                parts.append(unpacker.decompress(raw))
+                held += len(parts[-1])
+                if held >= SLICE_BYTES:
+                    total += np.bincount(np.frombuffer(b"".join(parts), dtype=kind), minlength=size)
+                    held, parts = 0, []
+        total += np.bincount(np.frombuffer(b"".join(parts), dtype=kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 

@@ -163,6 +163,41 @@ def test_encoder_equals_library():
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == expected
 
 
+def test_encoder_remembers_pieces_over_slices_and_a_restart(monkeypatch):
+    """Words that come again, also before a comma or point, go to the library once, in few bytes each; a restart changes no ids."""
+    monkeypatch.setattr(token_binary, "CACHE_PIECES", 700)
+    coder, plain = token_binary.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    asked, library = [], coder._library
+    monkeypatch.setattr(coder, "_library", lambda texts: asked.append(sum(map(len, texts))) or library(texts))
+
+    def same(texts):
+        raw = [t.encode() for t in texts]
+        ids, bounds = coder.encode_slice(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    words = sentence(8, 400).split()
+    same(["go " + " ".join(words)])
+    seen = sum(asked)
+    same(["go " + ", ".join(words[::-1]) + ".", "go " + " ".join(f"{w}." for w in words)])
+    assert sum(asked) - seen <= 2
+    held = sum(x.nbytes for x in (coder.known, coder.check, coder.begin, coder.length, coder.pool))
+    assert held < 50 * len(coder.known) and 350 < len(coder.known) < 420
+    for i in range(9, 14):
+        same([sentence(i, 300), sentence(i - 1, 300)])
+    assert len(coder.known) < 1400
+
+
+def test_encoder_on_pieces_that_share_a_hash(monkeypatch):
+    coder, plain = token_binary.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    whole, hashed = [sentence(21, 50), sentence(22, 50)], token_binary.hash_ranges
+    for modulus in (7, 1):  # of the first hash: pieces of one slice, then also those of two
+        monkeypatch.setattr(token_binary, "hash_ranges", lambda *a, fold: hashed(*a, fold=fold) % np.uint64(modulus) if fold is False else hashed(*a, fold=fold))
+        for text in [*whole, "one", "two"]:
+            raw = text.encode()
+            ids, bounds = coder.encode_slice(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
+
+
 def expected_tokens(texts):
     found = Tokenizer.from_file(tokenizer_path()).encode_batch([t or "" for t in texts], add_special_tokens=False)
     return [np.array([*e.ids, 0], dtype="<u4") for e in found]
