@@ -368,6 +368,15 @@ def test_decontamination_finds_all_verbatim_passages(spark, documents, sf_dir):
     assert {(r["doc_id"], r["item_id"]) for r in got} == inside and inside
 
 
+def test_texts_of_clean_documents_do_not_enter_the_join(spark):
+    own = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    found = own.where("doc_id % 500 = 3").select("doc_id")
+    with Scratch(spark) as scratch:
+        kept = [r["doc_id"] for r in decontaminate.perhaps_in(own, found, scratch, decontaminate.Settings()).collect()]
+        none = decontaminate.perhaps_in(own, found.limit(0), scratch, decontaminate.Settings()).count()
+    assert {i for i in range(20_000) if i % 500 == 3} <= set(kept) and len(kept) < 200 and none == 0
+
+
 def test_native_plans_hold_no_python(spark, documents, sf_dir):
     for name in ("op4_decontamination", "op5_secret_scan"):
         plan = driver.queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
@@ -403,15 +412,6 @@ def test_secret_spans(spark):
         assert [s for s in own if s[0] in ("assign", "access", "hex")] == brute_spans(text)
         assert any(s[0] == "pem" for s in own) == ("BEGIN RSA" in (text or ""))
 
-def test_texts_of_clean_documents_do_not_enter_the_join(spark):
-    own = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
-    found = own.where("doc_id % 500 = 3").select("doc_id")
-    with Scratch(spark) as scratch:
-        kept = [r["doc_id"] for r in decontaminate.perhaps_in(own, found, scratch, decontaminate.Settings()).collect()]
-        none = decontaminate.perhaps_in(own, found.limit(0), scratch, decontaminate.Settings()).count()
-    assert {i for i in range(20_000) if i % 500 == 3} <= set(kept) and len(kept) < 200 and none == 0
-
-
 
 def test_ledger_scans_only_what_is_new(spark):
     path = scratch_path(spark, "ledger")
@@ -731,6 +731,23 @@ def test_pipeline(spark, sf_dir, documents):
     assert [tuple(r) for r in driver.queries()["pipeline"](spark, sf_dir).orderBy("start").collect()] == expected
 
 
+def test_pipeline_shuffles_texts_once_to_drop_near_copies(spark, documents, monkeypatch):
+    """Dropped ids are few and join by the id itself, so the rows equal in id and text meet without a second shuffle of the texts."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", lambda docs: near)
+    near = near_duplicates(documents)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, documents, "")
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in near.where("kept").collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"Exchange hashpartitioning\([^)]*text", plan.split("== Initial Plan ==")[-1])
+
+
 def test_pipeline_stages_keep_columns_and_accept_nothing(spark, sf_dir, documents):
     import corpus_pipeline as P
 
