@@ -694,6 +694,57 @@ def test_near_passages_are_found(spark):
         assert len(planted) >= 50 and len(planted & got) >= 0.97 * len(planted)
 
 
+def test_a_line_of_many_documents_is_not_compared_in_pairs(spark, monkeypatch):
+    """300 documents share a line shorter than a passage; 20 pairs also share a passage with it, which no first document confirms."""
+    line, table, copies = sentence(5, 36), [], set()
+    for i in range(300):
+        table.append((i, f"{sentence(60_000 + i, 80)} {line} {sentence(61_000 + i, 80)}"))
+    for i in range(20):
+        around = sentence(62_000 + i, 40).split()
+        passage = f"{' '.join(around[:20])} {line} {' '.join(around[20:])}"
+        table += [(1000 + 2 * i + k, f"{sentence(63_000 + 2 * i + k, 60)} {passage} {sentence(64_000 + 2 * i + k, 60)}") for k in (0, 1)]
+        copies.add((1001 + 2 * i, 1000 + 2 * i))
+    compared, collected = [], passages.collected
+
+    def counting(spots):
+        out = collected(spots)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "collected", counting)
+    got = passages.repeated_passages(spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)).collect()
+    assert copies == {(r["doc_id"], r["ref_id"]) for r in got}
+    assert sum(compared) < 10 * len(table)
+
+
+def test_rarest_shingles_meet_in_all_similar_ranges():
+    """Two ranges with the asked similarity have a chosen shingle in common, also after thinning; a range mostly of its own has none."""
+    draw, least = np.random.default_rng(8), 46
+    for trial in range(200):
+        n = int(draw.integers(3, 60)) if trial % 4 == 0 else 1000
+        one = draw.integers(0, n, least)
+        other = one.copy()
+        edits = draw.choice(least, int(draw.integers(0, 8)), replace=False)
+        other[edits] = 2000 + edits
+        a, b = set(one.tolist()), set(other.tolist())
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        found = []
+        for part in (one, other):
+            around = np.concatenate([draw.integers(5000, 9000, 60), part, draw.integers(5000, 9000, 60)])
+            shared = np.isin(around, sorted(a & b))
+            chosen = passages.rarest(np.where(shared, around, -1), least, 75)
+            at = np.flatnonzero(chosen)
+            stay = at[passages.thinned(around[at], at, least)]
+            assert set(around[at].tolist()) == set(around[stay].tolist()) <= a & b
+            assert all(any(s <= x < s + least for x in stay[around[stay] == around[y]]) for y in at for s in (max(0, y - least + 1), y))
+            found.append(set(around[stay].tolist()))
+        assert found[0] & found[1]
+    lone = np.full(150, -1)
+    lone[60:90] = np.arange(30)
+    assert not passages.rarest(lone, least, 75).any()
+
+
 def test_grown_ranges_equal_brute_force():
     """The best range around a place with the least length, against all ranges."""
     draw = np.random.default_rng(3)
